@@ -17,6 +17,23 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sylvan.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_ngram_join, op9_best_fit_packing, op10_embedding_dedup)
+}
 
 ORACLE_SQL: dict[str, str] = {}
