@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,21 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_id")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.secrets import find_secrets, secret_digest
+
+    return secret_digest(find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.language_id import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    found = identify(docs, train(docs.where(~held_out).select("doc_id", "text", "lang")))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("spans").alias("n_spans"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,7 +49,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_join, op9_best_fit_packing, op10_embedding_dedup)
+    for f in (op1_ngram_join, op2_secret_scan, op5_language_id, op9_best_fit_packing, op10_embedding_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
