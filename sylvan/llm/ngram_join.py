@@ -121,8 +121,11 @@ def _band(n: int) -> int:
     return math.floor(math.log(n) / math.log(1.25))
 
 
-def _pairs(order: np.ndarray, band: int, need: int) -> np.ndarray:
-    """Signatures of frequent shingles, given in global order: pairs within groups, until the count reaches ``need``."""
+def _pairs(order: np.ndarray, band: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of frequent shingles, given in global order: pairs within groups, until the count reaches ``need``.
+
+    With each comes the place in ``order`` of its later shingle.
+    """
     n_groups = max(1, int(1.25**band) // 15)
     group = (mix(order + U64(band)) % U64(n_groups)).astype(np.int64)
     seen: dict[int, list[int]] = {}
@@ -135,10 +138,10 @@ def _pairs(order: np.ndarray, band: int, need: int) -> np.ndarray:
         out += [(j, i) for j in held]
         held.append(i)
     if not out:
-        return np.zeros(0, U64)
+        return np.zeros(0, U64), np.zeros(0, np.int64)
     a = np.array(out)
     x, y = order[a[:, 0]], order[a[:, 1]]
-    return mix(np.minimum(x, y) * U64(0x9E3779B97F4A7C15) + np.maximum(x, y) + U64(2 * band + 1))
+    return mix(np.minimum(x, y) * U64(0x9E3779B97F4A7C15) + np.maximum(x, y) + U64(2 * band + 1)), a[:, 1]
 
 
 def signatures(s: np.ndarray, keys: np.ndarray, df: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -155,9 +158,9 @@ def signatures(s: np.ndarray, keys: np.ndarray, df: np.ndarray) -> list[tuple[np
     if len(rare) < probe and len(common):
         order = common[np.lexsort((common, df[at[often]]))]
         band = _band(n)
-        out.append((_pairs(order, band, probe - len(rare)), 1))
+        out.append((_pairs(order, band, probe - len(rare))[0], 1))
         if len(rare) < index:
-            out += [(_pairs(order, b, index - len(rare)), 2) for b in (band, band + 1)]
+            out += [(_pairs(order, b, index - len(rare))[0], 2) for b in (band, band + 1)]
     return [(x, r) for x, r in out if len(x)]
 
 

@@ -33,6 +33,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("spans").alias("n_spans"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.line_dedup import duplicate_lines
+
+    return duplicate_lines(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +55,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_secret_scan, op5_language_id, op9_best_fit_packing, op10_embedding_dedup)
+    for f in (op1_ngram_join, op2_secret_scan, op5_language_id, op6_line_dedup, op9_best_fit_packing, op10_embedding_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
