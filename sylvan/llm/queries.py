@@ -24,6 +24,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylvan.llm.language_id import identify, train
 
@@ -39,6 +45,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_lines(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.quality import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +67,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_secret_scan, op5_language_id, op6_line_dedup, op9_best_fit_packing, op10_embedding_dedup)
+    for f in (op1_ngram_join, op2_secret_scan, op4_source_mixing, op5_language_id, op6_line_dedup, op7_quality_resampling, op9_best_fit_packing, op10_embedding_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
