@@ -51,6 +51,12 @@ def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +73,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_secret_scan, op4_source_mixing, op5_language_id, op6_line_dedup, op7_quality_resampling, op9_best_fit_packing, op10_embedding_dedup)
+    for f in (op1_ngram_join, op2_secret_scan, op4_source_mixing, op5_language_id, op6_line_dedup, op7_quality_resampling, op8_substring_dedup, op9_best_fit_packing, op10_embedding_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
