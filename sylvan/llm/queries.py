@@ -24,6 +24,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.image_copies import image_copies, rendered
+
+    return image_copies(rendered(_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylvan.llm.mixing import mix
 
@@ -73,7 +79,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_secret_scan, op4_source_mixing, op5_language_id, op6_line_dedup, op7_quality_resampling, op8_substring_dedup, op9_best_fit_packing, op10_embedding_dedup)
+    for f in (op1_ngram_join, op2_secret_scan, op3_image_copies, op4_source_mixing, op5_language_id, op6_line_dedup, op7_quality_resampling, op8_substring_dedup, op9_best_fit_packing, op10_embedding_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
