@@ -6,10 +6,12 @@ so a lost executor costs a recomputation from there and not the whole job.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sylvan-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
     release(spark)
     return out
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the table of a frame that ``stored`` returned and that no later plan reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(conf).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -94,10 +104,43 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(h)
 
 
-def batches(rows: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    """The named columns of each Arrow batch as Python lists."""
+def batches(rows: Iterator[pa.RecordBatch], *names: str, most: int = 1000) -> Iterator[tuple[list, ...]]:
+    """The named columns of each Arrow batch as Python lists, ``most`` rows at a time."""
     for b in rows:
-        yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
+        for lo in range(0, b.num_rows, most):
+            part = b.slice(lo, most)
+            yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
+
+
+def _trim() -> None:
+    """Gives freed memory back, so that workers that wait for the next task stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for ``mapInArrow``, returning its memory when a partition is done."""
+
+    def run(rows):
+        try:
+            yield from f(rows)
+        finally:
+            _trim()
+
+    return run
+
+
+def lean_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``f`` for ``applyInArrow``, returning its memory when a group is done."""
+
+    def run(table):
+        try:
+            return f(table)
+        finally:
+            _trim()
+
+    return run
 
 
 def components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFrame:
@@ -153,9 +196,9 @@ def bloom_of(ids: DataFrame, bits_per_id: int = 12, most_bytes: int = 1 << 24) -
             out |= np.frombuffer(x, np.uint8)
         return pa.table({"at": t.column("at").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    parts = ids.select(F.col(name).cast("long")).where(F.col(name).isNotNull()).mapInArrow(fill, "at long, bits binary")
+    parts = ids.select(F.col(name).cast("long")).where(F.col(name).isNotNull()).mapInArrow(lean(fill), "at long, bits binary")
     out = np.zeros(size, np.uint8)
-    for r in parts.groupBy("at").applyInArrow(unite, "at long, bits binary").toArrow().to_pylist():
+    for r in parts.groupBy("at").applyInArrow(lean_group(unite), "at long, bits binary").toArrow().to_pylist():
         out[r["at"] : r["at"] + chunk] = np.frombuffer(r["bits"], np.uint8)
     return out
 

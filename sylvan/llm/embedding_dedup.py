@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, components, mix, stored
+from sylvan.llm.common import U64, components, lean, lean_group, mix, stored
 
 #: Bucket members that are compared in one block.
 BLOCK = 1024
@@ -69,7 +69,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.9, recall: floa
             yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "digest": pa.array(digest, pa.binary()), "unit": pa.array(blob, pa.binary())})
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    info = stored(rows.mapInArrow(describe, "vec_id long, digest binary, unit binary"), "vectors")
+    info = stored(rows.mapInArrow(lean(describe), "vec_id long, digest binary, unit binary"), "vectors")
     reps = info.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("unit").alias("unit"))
     reps = stored(reps, "vector-classes")
     n = reps.count()
@@ -100,8 +100,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.9, recall: floa
             keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32)
             yield pa.RecordBatch.from_pydict({"rep": ids, "at": pa.array(np.tile(np.arange(n_tables, dtype=np.int32), b.num_rows)), "key": keys.astype(np.int64)})
 
-    keyed = stored(reps.select("rep", "size", "unit").mapInArrow(hashed, "rep long, size long, unit binary, keys binary"), "vector-keys")
-    bucket = keyed.select("rep", "keys").mapInArrow(spread, "rep long, at int, key long")
+    keyed = stored(reps.select("rep", "size", "unit").mapInArrow(lean(hashed), "rep long, size long, unit binary, keys binary"), "vector-keys")
+    bucket = keyed.select("rep", "keys").mapInArrow(lean(spread), "rep long, at int, key long")
     sizes = bucket.groupBy("at", "key").agg(F.count("*").alias("held")).where("held > 1")
     # A bucket of many members is cut in blocks, and each pair of blocks is a unit of work of its own.
     n_blocks = F.ceil(F.col("held") / BLOCK).cast("int")
@@ -146,7 +146,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.9, recall: floa
         x = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ()))]
         return pa.table({"rep": x[0], "other": x[1], "links": x[2].astype(np.int64)})
 
-    found = stored(work.groupBy("part").applyInArrow(compare, "rep long, other long, links long"), "vector-links")
+    found = stored(work.groupBy("part").applyInArrow(lean_group(compare), "rep long, other long, links long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     classes = reps.select("digest", "rep", "size").join(links, "rep", "left").join(reached, F.col("rep") == F.col("id"), "left")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, batches, mix
+from sylvan.llm.common import U64, batches, lean, mix
 
 N_BUCKETS = 1 << 16
 #: First words of the Unicode names of letters by which scripts are told apart.
@@ -96,7 +96,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_languages: int = 200)
             k = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k)), "at": k.astype(np.int64), "n": c[k]})
 
-    counted = rows.select("lang", "text").mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    counted = rows.select("lang", "text").mapInArrow(lean(count), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
     keep = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages)
     languages = sorted(r["lang"] for r in keep.collect())
     table = np.zeros((N_BUCKETS + len(SCRIPTS), len(languages)))
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
 
     def label(rows):
         words = WordScores(*shared.value) if languages else None
-        for ids, texts in batches(rows, "doc_id", "text"):
+        for ids, texts in batches(rows, "doc_id", "text", most=4000):
             lang, share, spans = ["und"] * len(ids), [0.0] * len(ids), [[] for _ in ids]
             if words is not None and len(words) > words.most:
                 words.reset()
@@ -221,4 +221,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang), pa.array(share), pa.array(spans, kind)], ["doc_id", "lang", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(label, "doc_id long, lang string, score double, spans array<struct<first:int,last:int,lang:string>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(label), "doc_id long, lang string, score double, spans array<struct<first:int,last:int,lang:string>>")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import batches, stored, task_count
+from sylvan.llm.common import batches, lean, stored, task_count
 
 
 class _Sums:
@@ -161,7 +161,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, ranks: str, capacity: int = 2
                     start, size = start + size, capacity
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -213,7 +213,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     base = per.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "bucket", "base")
     local = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = pieces.withColumn("local", F.row_number().over(local)).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("local") - 1)
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str, capacity: int = 2048) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, WordHashes, ascii_words, batches, mix, stored
+from sylvan.llm.common import U64, WordHashes, ascii_words, batches, lean, mix, stored
 
 N_BUCKETS = 1 << 18
 #: Pseudo-counts by which a bucket's target count is drawn to what all text would give.
@@ -58,7 +58,7 @@ def fit(docs: DataFrame, target: set[int]) -> np.ndarray:
         k = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"at": k.astype(np.int64), "raw": raw[k], "good": good[k]})
 
-    t = docs.mapInArrow(count, "at long, raw long, good long").groupBy("at").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    t = docs.mapInArrow(lean(count), "at long, raw long, good long").groupBy("at").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.zeros(N_BUCKETS), np.zeros(N_BUCKETS)
     at = t.column("at").to_numpy()
     raw[at], good[at] = t.column("raw").to_numpy(), t.column("good").to_numpy()
@@ -76,7 +76,7 @@ def scores(docs: DataFrame, ratio: np.ndarray, seed: int = 5) -> DataFrame:
             u = (mix(np.array([(i or 0) & (1 << 64) - 1 for i in ids], U64) * U64(2 * seed + 1) + U64(seed)) >> U64(11)).astype(np.float64)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": s, "key": s - np.log(-np.log((u + 0.5) / (1 << 53)))})
 
-    return docs.mapInArrow(run, "doc_id long, score double, key double")
+    return docs.mapInArrow(lean(run), "doc_id long, score double, key double")
 
 
 def top_k(rows: DataFrame, k: int, order: str = "key", tie: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import batches
+from sylvan.llm.common import batches, lean
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "literal", "propagated")
@@ -111,7 +111,7 @@ def find_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(every, kind), pa.array(base, kind)], ["doc_id", "spans", "base"])
 
     spans = "array<struct<kind:string,start:long,end:long>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id long, spans {spans}, base {spans}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(scan), f"doc_id long, spans {spans}, base {spans}")
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
