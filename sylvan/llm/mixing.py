@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import ascii_words, batches, stored
+from sylvan.llm.common import ascii_words, batches, lean, stored
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells up to which the fit runs on the driver; beyond it each sweep is a job.
@@ -41,7 +41,7 @@ def with_topics(docs: DataFrame, n_topics: int = 8, least: int = 6) -> DataFrame
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "source": pa.array(sources, pa.string()), "lang": pa.array(langs, pa.string()), "topic": pa.array(topic), "tokens": pa.array(tokens, pa.int64())})
 
     cast = [F.col(c).cast(k).alias(c) for c, k in (("doc_id", "long"), ("source", "string"), ("lang", "string"), ("text", "string"))]
-    return docs.select(*cast).mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
+    return docs.select(*cast).mapInArrow(lean(run), "doc_id long, source string, lang string, topic string, tokens long")
 
 
 def tempered(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]:
@@ -69,13 +69,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 100, tol
     for d in dims:
         values, index = _index(t.column(d).to_pylist())
         share = {r["value"]: r["share"] for r in targets[d].collect()}
-        have = np.bincount(index, weights=tokens, minlength=len(values))
+        have = np.bincount(index, weights=tokens, minlength=len(values)).astype(float)
         fixed = np.array([share.get(v, have[i] / max(tokens.sum(), 1)) if have[i] else 0.0 for i, v in enumerate(values)])
-        plan.append((index, fixed / fixed.sum() * tokens.sum() if fixed.sum() else have))
+        plan.append((index, fixed / fixed.sum() * tokens.sum() if fixed.sum() else have.astype(float)))
     for _ in range(sweeps):
         off = 0.0
         for index, goal in plan:
-            now = np.bincount(index, weights=w * tokens, minlength=len(goal))
+            now = np.bincount(index, weights=w * tokens, minlength=len(goal)).astype(float)
             f = np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)
             off = max(off, np.abs(f[now > 0] - 1).max(initial=0.0))
             w *= f[index]
