@@ -82,4 +82,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_ngram_join, op2_secret_scan, op3_image_copies, op4_source_mixing, op5_language_id, op6_line_dedup, op7_quality_resampling, op8_substring_dedup, op9_best_fit_packing, op10_embedding_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Least id reached from each vertex of ``links`` (a, b, both ways) over the vertices ``v``.
+_REACHED = """reach(id, other) AS (SELECT id, id FROM v UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+v AS (SELECT doc_id AS id FROM documents),
+{_REACHED}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c ON c.id = s.doc_id""",
+    "op10_embedding_dedup": f"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM e p JOIN e q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.9),
+v AS (SELECT vec_id AS id FROM e),
+{_REACHED}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, component_id = id AS kept FROM c""",
+}
