@@ -70,26 +70,64 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word seen, kept for up to ``most`` different words and then begun anew."""
+def ascii_words(text: str | None) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
-    def __init__(self, most: int = 1_000_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of a word up to which it is hashed together with all others.
+_SHORT = 64
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
+class Words:
+    """Hashes of the words of some texts, all at once.
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    ``hash`` has one 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case; those of text i are
+    ``hash[cut[i]:cut[i + 1]]``. ``line`` counts the line feeds of all texts so far, one between two texts included, and
+    ``first_line`` has that count where each text begins. A null text is empty.
+    """
+
+    def __init__(self, texts: list):
+        parts = [t.encode("utf-8", "surrogatepass").translate(_LOWER) if t else b"" for t in texts]
+        data = b"\n" + b"\n".join(parts) + b"\n"
+        self.bytes = b = np.frombuffer(data, np.uint8)
+        space = _SPACE[b]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        self.start, end = edge[0::2], edge[1::2]
+        begin = np.cumsum([1, *(len(p) + 1 for p in parts)])
+        self.cut = np.searchsorted(self.start, begin)
+        self.begin = begin[:-1]
+        size = end - self.start
+        order = np.argsort((65535 - np.minimum(size, 65535)).astype(np.uint16), kind="stable")  # longest first, a radix sort
+        s, n = self.start[order], size[order]
+        h = np.zeros(len(s), U64)
+        more = len(n) - np.cumsum(np.bincount(np.minimum(n, _SHORT), minlength=_SHORT + 1)) if len(n) else np.zeros(_SHORT + 1, np.int64)
+        for j in range(_SHORT):
+            k = int(more[j])
+            if not k:
+                break
+            h[:k] = h[:k] * _POLY + b[s[:k] + j]
+        for i in range(int((n > _SHORT).sum())):
+            h[i] = xxhash.xxh3_64_intdigest(data[s[i] : s[i] + n[i]])
+        self.hash = np.empty(len(s), U64)
+        self.hash[order] = mix(h + n.astype(U64) * U64(0xD1B54A32D192ED03))
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """``line`` of each word, and ``first_line`` of each text."""
+        feeds = np.flatnonzero(self.bytes == 10)
+        return np.searchsorted(feeds, self.start), np.searchsorted(feeds, self.begin)
+
+
+def shingles(texts: list, k: int = 5) -> list[np.ndarray]:
+    """Hashes of the runs of ``k`` words of each text in order; of the whole text if it is shorter, none if it is empty."""
+    w = Words(texts)
+    n = len(w.hash) - k + 1
+    h = np.full(max(0, n), k, U64)
+    for i in range(k if n > 0 else 0):
+        h = h * _POLY + w.hash[i : n + i]
+    h = mix(h)
+    return [h[a : b - k + 1] if b - a >= k else shingle_hashes(w.hash[a:b], k) for a, b in zip(w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True)]
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its distinct words. Words are ordered by rarity; a line indexes a prefix of its rarest words (words of
-the frequent class in pairs, as in ``ngram_join``), candidates pass length and positional filters, and Jaccard is verified
+the frequent class in pairs, as in ``ngram_join``), candidates pass length and positional filters and one on bitmaps of their
+words, and Jaccard is verified
 over the whole sets. A line goes if an earlier line, in the order (doc_id, line number), has a Jaccard of 0.8 or more with it,
 whether or not that earlier line stays itself.
 """
@@ -10,76 +11,68 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, ascii_words, batches, bloom_has, bloom_of, release, stored, task_count
-from sylvan.llm.ngram_join import _HELD, _band, _by_bucket, _pairs
+from sylvan.llm.common import U64, Words, batches, bloom_has, bloom_of, forget, lean, lean_group, mix, release, stored, task_count
+from sylvan.llm.ngram_join import _HELD, _by_bucket, _pairs, pair_hash
 
 #: Lines with a word counted from here are listed with their frequency; from ``PAIRS_FROM`` words are indexed in pairs.
-LISTED_FROM, LISTED_MOST, PAIRS_FROM = 8, 1_000_000, 64
+LISTED_FROM, LISTED_MOST, PAIRS_FROM = 8, 1_000_000, 128
+#: Sets that share a signature up to which all pairs of them are looked at in place.
+SMALL = 512
 
 
-class _Words(dict):
-    """Row of each word in ``hash`` (its 64-bit hash) and ``rank`` (place in the global order: rarer words lower)."""
-
-    def __init__(self, keys: np.ndarray, df: np.ndarray, most: int = 600_000):
-        super().__init__()
-        self.keys, self.df, self.most = keys, df, most
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
-        self.hash, self.rank = np.zeros(0, U64), np.zeros(0, U64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
-
-    def settle(self) -> None:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), U64, len(self.new))
-        df = np.zeros(len(h), U64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            df = np.where(self.keys[at] == h, self.df[at], 0).astype(U64)
-        self.hash, self.rank = np.concatenate([self.hash, h]), np.concatenate([self.rank, (np.minimum(df, U64((1 << 32) - 1)) << U64(32)) | (h >> U64(32))])
-        self.new = []
+class Lines:
+    """The sets of the lines of some texts: words of line i are ``hash[start[i]:start[i + 1]]``, by rising ``rank``.
 
+    ``listed`` has the hashes (ascending) of words with their frequencies; rarer words rank lower, unlisted ones lowest.
+    """
 
-class Lines:
-    """The sets of the lines of some texts: words of line i are ``hash[start[i]:start[i + 1]]``, by rising ``rank``."""
-
-    def __init__(self, ids: list, texts: list, words: _Words):
-        if len(words) > words.most:
-            words.reset()
-        coded, self.doc, self.line, of = [], [], [], []
-        for doc, text in zip(ids, texts, strict=True):
-            for i, part in enumerate((text or "").split("\n")):
-                if w := ascii_words(part):
-                    coded.extend(map(words.__getitem__, w))
-                    of.append(len(w))
-                    self.doc.append(doc)
-                    self.line.append(i)
-        words.settle()
-        at = np.array(coded, np.int64)
-        line = np.repeat(np.arange(len(of)), of)
-        order = np.lexsort((words.hash[at], words.rank[at], line))
-        at, line = at[order], line[order]
-        keep = np.r_[True, (line[1:] != line[:-1]) | (words.hash[at][1:] != words.hash[at][:-1])] if len(at) else np.zeros(0, bool)
-        at, line = at[keep], line[keep]
-        self.hash, self.rank, self.of = words.hash[at], words.rank[at], line
-        self.start = np.searchsorted(line, np.arange(len(of) + 1))
+    def __init__(self, ids: list, texts: list, listed: tuple[np.ndarray, ...] | None = None):
+        w = Words(texts)
+        feed, first = w.lines()
+        # dense places of the chunk's words in the global order, so that one sort of integers orders all lines
+        order = np.argsort(w.hash)
+        h = w.hash[order]
+        new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+        own = h[new]
+        df = np.zeros(len(own), U64)
+        if listed is not None and len(listed[0]):
+            at = np.minimum(np.searchsorted(listed[0], own), len(listed[0]) - 1)
+            df = np.where(listed[0][at] == own, listed[1][at], 0).astype(U64)
+        rank = (np.minimum(df, U64((1 << 32) - 1)) << U64(32)) | (own >> U64(32))
+        by_rank = np.lexsort((own, rank))
+        place = np.empty(len(own), np.int64)
+        place[by_rank] = np.arange(len(own))
+        word = np.empty(len(h), np.int64)
+        word[order] = place[np.cumsum(new) - 1] if len(h) else 0
+        begins = np.r_[True, feed[1:] != feed[:-1]] if len(feed) else np.zeros(0, bool)
+        width = max(1, len(own))
+        key = (np.cumsum(begins) - 1) * width + word
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        self.of, at = key // width, by_rank[key % width]
+        self.hash, self.rank = own[at], rank[at]
+        lines = feed[begins]
+        doc = np.searchsorted(first, lines, "right") - 1
+        self.line, self.doc = lines - first[doc], [ids[i] for i in doc.tolist()]
+        self.start = np.searchsorted(self.of, np.arange(len(lines) + 1))
         self.size = np.diff(self.start)
 
-    def ids(self) -> list[int]:
-        """A 64-bit id for each line, equal for equal sets."""
-        order = np.lexsort((self.hash, self.of))
-        data = self.hash[order].tobytes()
-        cut = (8 * self.start).tolist()
-        return [xxhash.xxh3_64_intdigest(data[a:b]) - (1 << 63) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    def ids(self) -> np.ndarray:
+        """A 64-bit id for each line, equal for equal sets: two sums over mixed hashes, whatever their order."""
+        if not len(self.size):
+            return np.zeros(0, np.int64)
+        x = np.add.reduceat(mix(self.hash), self.start[:-1])
+        y = np.bitwise_xor.reduceat(mix(self.hash + U64(77)), self.start[:-1])
+        return mix(x + mix(y) * U64(0x9E3779B97F4A7C15) + self.size.astype(U64)).astype(np.int64)
+
+    def bitmaps(self) -> np.ndarray:
+        """64 bits for each line, of which each word sets one."""
+        if not len(self.size):
+            return np.zeros(0, U64)
+        return np.bitwise_or.reduceat(U64(1) << (mix(self.hash) >> U64(58)), self.start[:-1])
 
 
 def describe_lines(docs: DataFrame) -> DataFrame:
@@ -87,7 +80,6 @@ def describe_lines(docs: DataFrame) -> DataFrame:
     n_buckets = min(1 << 15, 4 * task_count(docs))
 
     def run(rows):
-        words = _Words(np.zeros(0, U64), np.zeros(0, np.int64))
         held: list = []
 
         def flush():
@@ -102,8 +94,8 @@ def describe_lines(docs: DataFrame) -> DataFrame:
 
         names = ["bucket", "doc_id", "line", "n", "id", "words", "times"]
         for ids, texts in batches(rows, "doc_id", "text"):
-            for lo in range(0, len(ids), 1000):
-                x = Lines(ids[lo : lo + 1000], texts[lo : lo + 1000], words)
+            for lo in range(0, len(ids), 250):
+                x = Lines(ids[lo : lo + 250], texts[lo : lo + 250])
                 if not len(x.size):
                     continue
                 h, c = np.unique(x.hash, return_counts=True)
@@ -115,19 +107,23 @@ def describe_lines(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, doc_id long, line int, n long, id long, words binary, times binary")
+    return docs.mapInArrow(lean(run), "bucket int, doc_id long, line int, n long, id long, words binary, times binary")
 
 
-def listed_words(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and line counts of the words in ``LISTED_FROM`` lines or more, the most frequent ``LISTED_MOST``."""
+def listed_words(described: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Hashes (ascending) and line counts of the words in ``LISTED_FROM`` lines or more, the most frequent ``LISTED_MOST``, and
+    a Bloom filter of all words in two lines or more: others need no signature. Where the bounded filter is full it lacks none.
+    """
 
     def total(t: pa.Table) -> pa.Table:
         key = np.frombuffer(b"".join(t.column("words").to_pylist()), U64)
         key, at = np.unique(key, return_inverse=True)
         n = np.bincount(at, weights=np.frombuffer(b"".join(t.column("times").to_pylist()), "<u4")).astype(np.int64)
-        return pa.table({"key": key[n >= LISTED_FROM].astype(np.int64), "df": n[n >= LISTED_FROM]})
+        return pa.table({"key": key[n >= 2].astype(np.int64), "df": n[n >= 2]})
 
-    found = stored(described.where("bucket is not null").select("bucket", "words", "times").groupBy("bucket").applyInArrow(total, "key long, df long"), "line-words")
+    found = stored(described.where("bucket is not null").select("bucket", "words", "times").groupBy("bucket").applyInArrow(lean_group(total), "key long, df long"), "line-words")
+    repeated = bloom_of(found.select("key"))
+    found = found.where(F.col("df") >= LISTED_FROM)
     levels = {r["level"]: r["n"] for r in found.groupBy(F.floor(F.log2("df")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()}
     level = min(levels, default=0)
     while sum(n for x, n in levels.items() if x >= level) > LISTED_MOST:
@@ -135,72 +131,116 @@ def listed_words(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     t = found.where(F.floor(F.log2("df")) >= level).toArrow()
     key, df = t.column("key").to_numpy().astype(U64), t.column("df").to_numpy()
     order = np.argsort(key)
-    return key[order], df[order]
+    # prefixes are counted on only if all words that are not listed are in few lines
+    return key[order], df[order], repeated, 2**level <= PAIRS_FROM
+
 
+#: Sizes and positions are kept up to ``_BIG``; a set of that size or more passes all filters on them.
+_BIG = 65535
+_ENTRY = np.dtype([("sig", "<u4"), ("id", "<i8"), ("bits", "<u8"), ("n", "<u2"), ("pos", "<u2"), ("role", "u1")])
 
-_ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("role", "u1")])
 
+def shared_words(n: np.ndarray, pure: np.ndarray) -> np.ndarray:
+    """Prefix words that a line must share with a match: its prefix is longer than needed by one less than that.
 
-def line_signatures(x: Lines, ids: np.ndarray) -> np.ndarray:
-    """Entries of the index: signature, line set, its size, the position in the global order, and the role.
+    A prefix of rare words alone (``pure``) is lengthened by a twentieth of the line; of two lines, the one whose prefix ends
+    first in the global order has that many of its words in the other's prefix, so the lesser of both numbers is shared.
+    """
+    return 1 + np.where(pure, n // 20, 0)
+
+
+def _groups(band: int) -> int:
+    """Hash groups within which frequent words are paired, for sets of this band of sizes."""
+    return max(1, int(1.25**band) // 60)
+
+
+def _entries(x: Lines, line: np.ndarray, sig: np.ndarray, pos: np.ndarray, role: np.ndarray | int, ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    e = np.zeros(len(sig), _ENTRY)
+    e["sig"], e["id"], e["bits"], e["n"], e["pos"], e["role"] = sig >> U64(32), ids[line], bits[line], np.minimum(x.size[line], _BIG), np.minimum(pos, _BIG), role
+    return sig, e
 
-    Role 1 probes as the larger set, 2 is indexed as the smaller one, 3 both. Sets of fewer than 4 words link with equal ones
+
+def line_signatures(x: Lines, ids: np.ndarray, repeated: np.ndarray, counting: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and entries of the index: upper half of the signature, line set, its bitmap and size, the position in the global order, and the role.
+
+    Role bit 1 probes as the larger set, 2 is indexed as the smaller one; bit 4 marks sets with a pure prefix. Sets of fewer than 4 words link with equal ones
     only and need no entry.
     """
+    bits = x.bitmaps()
     n = x.size[x.of]
     pos = np.arange(len(x.of)) - x.start[x.of]
     common = x.rank >= U64(PAIRS_FROM) << U64(32)
     rare = np.bincount(x.of[~common], minlength=len(x.size))
-    single = ~common & (pos < n // 5 + 1) & (n >= 4)
-    out = np.zeros(int(single.sum()), _ENTRY)
-    out["sig"], out["id"], out["n"], out["pos"] = x.hash[single], ids[x.of[single]], n[single], pos[single]
-    out["role"] = np.where(pos[single] < n[single] // 9 + 1, 3, 1)
-    parts = [out]
-    for i in np.flatnonzero((rare < x.size // 5 + 1) & (x.size >= 4)).tolist():
-        size, r = int(x.size[i]), int(rare[i])
-        order = x.hash[x.start[i] + r : x.start[i + 1]]
-        band = _band(size)
-        wanted = [(band, size // 5 + 1 - r, 1)] + [(b, size // 9 + 1 - r, 2) for b in (band, band + 1) if r < size // 9 + 1]
-        for b, need, role in wanted:
-            sig, last = _pairs(order, b, need)
-            e = np.zeros(len(sig), _ENTRY)
-            e["sig"], e["id"], e["n"], e["pos"], e["role"] = sig, ids[i], size, last + r, role
-            parts.append(e)
-    return np.concatenate(parts)
-
-
-def shared_entries(docs: DataFrame, key: np.ndarray, df: np.ndarray) -> DataFrame:
-    """(sig, id, n, pos, role) for the signatures that two different line sets or more hold, one row for each set."""
+    pure = (rare >= x.size // 5 + shared_words(x.size, True)) & (x.size < _BIG) & counting
+    more = shared_words(x.size, pure)[x.of]
+    single = ~common & (pos < n // 5 + more) & (n >= 4)
+    single[single] = bloom_has(repeated, x.hash[single])
+    role = np.where(pos[single] < n[single] // 9 + more[single], 3, 1) + 4 * pure[x.of[single]]
+    parts = [_entries(x, x.of[single], x.hash[single], pos[single], role, ids, bits)]
+    short = np.flatnonzero((rare < x.size // 5 + 1) & (x.size >= 4))
+    bands = np.floor(np.log(np.maximum(1, x.size[short])) / np.log(1.25)).astype(np.int64)
+    for step, role in ((0, 1), (0, 2), (1, 2)):
+        need = x.size[short] // (5 if role == 1 else 9) + 1 - rare[short]
+        for band, many in np.unique(np.stack([bands + step, need])[:, need > 0], axis=1).T.tolist():
+            lines = short[(bands + step == band) & (need == many)]
+            if _groups(band) == 1:  # pairs among the first words that are needed, for all these lines at once
+                i, j = np.triu_indices(many + 1, 1)
+                h = x.hash[(x.start[lines] + rare[lines])[:, None] + np.arange(many + 1)]
+                parts.append(_entries(x, np.repeat(lines, len(i)), pair_hash(h[:, i], h[:, j], band).ravel(), (rare[lines][:, None] + j).ravel(), role, ids, bits))
+                continue
+            for k in lines.tolist():
+                r = int(rare[k])
+                sig, last = _pairs(x.hash[x.start[k] + r : x.start[k + 1]], band, many, _groups(band))
+                parts.append(_entries(x, np.full(len(sig), k), sig, last + r, role, ids, bits))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs of entries of one signature pass the filters: roles, lengths, positions, and bits that only one set has."""
+    a, b = np.minimum(p["n"], q["n"]).astype(np.int64), np.maximum(p["n"], q["n"]).astype(np.int64)
+    small = (p["n"] == _BIG) | (q["n"] == _BIG) | (p["n"] <= q["n"]) & (p["role"] & 2 > 0) & (q["role"] & 1 > 0) | (q["n"] <= p["n"]) & (q["role"] & 2 > 0) & (p["role"] & 1 > 0)
+    after = np.minimum(p["n"].astype(np.int64) - p["pos"], q["n"].astype(np.int64) - q["pos"]) - 1
+    most = np.minimum(p["pos"], q["pos"]).astype(np.int64) + 1 + after
+    most = np.minimum(most, p["n"].astype(np.int64) - np.bitwise_count(p["bits"] & ~q["bits"]))
+    most = np.minimum(most, q["n"].astype(np.int64) - np.bitwise_count(q["bits"] & ~p["bits"]))
+    big = (p["n"] == _BIG) | (q["n"] == _BIG)
+    return small & (big | (5 * a >= 4 * b) & (9 * most >= 4 * (a + b))) & (p["id"] != q["id"])
+
+
+def shared_entries(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray, np.ndarray, bool]) -> DataFrame:
+    """Candidates of the index: rows (a, b) for signatures that few line sets hold, with n and pos as numbers of signatures that
+    have to be and are shared there, and for those that many hold the entries
+    (sig, a = id, bits, n, pos, role), one for each set, with b null."""
     n_buckets = min(1 << 15, 4 * task_count(docs))
-    shared = docs.sparkSession.sparkContext.broadcast((key, df))
+    shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def run(rows):
-        words, held, n, known = _Words(*shared.value), [], 0, set()
+        held, n, known = [], 0, set()
 
         def flush():
-            e = np.concatenate(held)
+            bucket, e = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order, cut = _by_bucket((e["sig"] % U64(n_buckets)).astype(np.int64), n_buckets)
+            order, cut = _by_bucket(bucket, n_buckets)
             e = e[order]
             full = [b for b in range(n_buckets) if cut[b] < cut[b + 1]]
             return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "rows": pa.array([e[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())})
 
         for ids, texts in batches(rows, "doc_id", "text"):
-            for lo in range(0, len(ids), 1000):
-                x = Lines(ids[lo : lo + 1000], texts[lo : lo + 1000], words)
+            for lo in range(0, len(ids), 250):
+                x = Lines(ids[lo : lo + 250], texts[lo : lo + 250], shared.value)
                 if not len(x.size):
                     continue
                 of = x.ids()
-                fresh = np.zeros(len(of), bool)
-                for i, d in enumerate(of):
-                    if d not in known:
-                        known.add(d)
-                        fresh[i] = True
+                fresh = [d for d in of.tolist() if d not in known]
                 if len(known) > 1_000_000:
                     known.clear()
-                e = line_signatures(x, np.array(of, np.int64))
-                held.append(e[np.isin(e["id"], np.array(of, np.int64)[fresh])])
-                n += len(held[-1])
+                known.update(fresh)
+                sig, e = line_signatures(x, of, *shared.value[2:])
+                if len(fresh) < len(of):
+                    own = np.isin(e["id"], np.array(fresh, np.int64))
+                    sig, e = sig[own], e[own]
+                held.append(((sig & U64(0xFFFFFFFF)) % U64(n_buckets), e))
+                n += len(e)
                 if n >= _HELD // 2:
                     yield flush()
                     n = 0
@@ -209,6 +249,11 @@ def shared_entries(docs: DataFrame, key: np.ndarray, df: np.ndarray) -> DataFram
 
     def shared_only(t: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(t.column("rows").to_pylist()), _ENTRY)
+        # most signatures have one holder: those go before the rows are put in order
+        order = np.argsort(e["sig"])
+        sig = e["sig"][order]
+        alone = np.r_[True, sig[1:] != sig[:-1]] & np.r_[sig[1:] != sig[:-1], True] if len(e) else np.zeros(0, bool)
+        e = e[order[~alone]]
         e = e[np.lexsort((e["id"], e["sig"]))]
         first = np.flatnonzero(np.r_[True, (e["sig"][1:] != e["sig"][:-1]) | (e["id"][1:] != e["id"][:-1])]) if len(e) else np.zeros(0, np.int64)
         role = np.bitwise_or.reduceat(e["role"], first) if len(e) else e["role"]
@@ -216,10 +261,31 @@ def shared_entries(docs: DataFrame, key: np.ndarray, df: np.ndarray) -> DataFram
         e["role"] = role
         start = np.flatnonzero(np.r_[True, e["sig"][1:] != e["sig"][:-1]]) if len(e) else first
         held = np.diff(np.r_[start, len(e)])
-        e = e[np.repeat(held > 1, held)] if len(e) else e
-        return pa.table({"sig": e["sig"].astype(np.int64), "id": e["id"], "n": e["n"].astype(np.int64), "pos": e["pos"].astype(np.int64), "role": e["role"].astype(np.int32)})
-
-    return docs.mapInArrow(run, "bucket int, rows binary").groupBy("bucket").applyInArrow(shared_only, "sig long, id long, n long, pos long, role int")
+        pairs = [np.zeros((0, 3), np.int64)]
+        for g in np.unique(held[(held > 1) & (held <= SMALL)]).tolist():
+            i, j = np.triu_indices(g, 1)
+            at = start[held == g]
+            step = max(1, 500_000 // len(i))
+            for lo in range(0, len(at), step):
+                p, q = e[(at[lo : lo + step, None] + i).ravel()], e[(at[lo : lo + step, None] + j).ravel()]
+                ok = near(p, q)
+                p, q = p[ok], q[ok]
+                share = np.minimum(*(shared_words(r["n"].astype(np.int64), r["role"] & 4 > 0) for r in (p, q)))
+                pairs.append(np.stack([np.minimum(p["id"], q["id"]), np.maximum(p["id"], q["id"]), share], axis=1))
+        two, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        e = e[np.repeat(held > SMALL, held)] if len(e) else e
+        # a bucket's number and half a signature stand for the signature
+        whole = (int(t.column("bucket")[0].as_py()) << 32) + e["sig"].astype(np.int64) if len(e) else e["sig"].astype(np.int64)
+        columns = {"sig": pa.array(np.r_[np.zeros(len(two), np.int64), whole])}
+        columns["a"] = pa.array(np.r_[two[:, 0], e["id"]])
+        columns["b"] = pa.array(np.r_[two[:, 1], np.zeros(len(e), np.int64)], mask=np.r_[np.zeros(len(two), bool), np.ones(len(e), bool)])
+        # for a pair, n has the words that must be shared and pos those that are, here
+        for c, kind, of_pair in (("bits", np.int64, np.zeros(len(two))), ("n", np.int64, two[:, 2]), ("pos", np.int64, times), ("role", np.int32, np.zeros(len(two)))):
+            columns[c] = pa.array(np.r_[of_pair.astype(kind), e[c].astype(kind)])
+        return pa.table(columns)
+
+    found = docs.mapInArrow(lean(run), "bucket int, rows binary").groupBy("bucket")
+    return found.applyInArrow(lean_group(shared_only), "sig long, a long, b long, bits long, n long, pos long, role int")
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
@@ -230,15 +296,15 @@ def _similar(docs: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
     in_docs, in_lines = sc.broadcast(bloom_of(places.select("doc_id").distinct())), sc.broadcast(bloom_of(places.select("id")))
 
     def sets(rows):
-        words, known = _Words(np.zeros(0, U64), np.zeros(0, np.int64)), set()
+        known: set = set()
         for b in rows:
             b = b.filter(b.column(0).is_valid())
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = np.flatnonzero(bloom_has(in_docs.value, ids)) if len(ids) else []
-            for lo in range(0, len(hit), 1000):
-                part = hit[lo : lo + 1000]
-                x = Lines(ids[part].tolist(), b.column(1).take(pa.array(part)).to_pylist(), words)
-                of = np.array(x.ids(), np.int64)
+            for lo in range(0, len(hit), 250):
+                part = hit[lo : lo + 250]
+                x = Lines(ids[part].tolist(), b.column(1).take(pa.array(part)).to_pylist())
+                of = x.ids()
                 if not len(of):
                     continue
                 keep = [i for i in np.flatnonzero(bloom_has(in_lines.value, of)).tolist() if of[i] not in known and not known.add(of[i])]
@@ -256,10 +322,10 @@ def _similar(docs: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
                 ok.append(5 * both >= 4 * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_pydict({"early": pa.array([v for v, o in zip(early, ok, strict=True) if o], pa.int64()), "late": pa.array([v for v, o in zip(late, ok, strict=True) if o], pa.int64())})
 
-    have = docs.mapInArrow(sets, "id long, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    have = docs.mapInArrow(lean(sets), "id long, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
     have = stored(have, "line-sets")
     both = pairs.join(have.select(F.col("id").alias("late"), F.col("hashes").alias("q")), "late").join(have.select(F.col("id").alias("early"), F.col("hashes").alias("p")), "early")
-    return both.select("early", "late", "p", "q").mapInArrow(verify, "early long, late long")
+    return both.select("early", "late", "p", "q").mapInArrow(lean(verify), "early long, late long")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -271,25 +337,41 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     described = stored(describe_lines(docs), "lines")
-    key, df = listed_words(described)
-    lines = described.where("bucket is null").select("doc_id", "line", "id")
+    listed = listed_words(described)
+    lines = stored(described.where("bucket is null").select("doc_id", "line", "id"), "line-ids")
+    forget(described)
     first = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at")), "line-classes")
     by_id = first.select("id", "at.doc_id", "at.line")
 
-    groups = shared_entries(docs, key, df).join(by_id, "id").select("sig", "id", "n", "pos", "role", F.struct("doc_id", "line").alias("at"))
+    index = stored(shared_entries(docs, listed), "line-index")
+    at = lambda c, as_: by_id.select(F.col("id").alias(c), F.struct("doc_id", "line").alias(as_))
+    # which of a pair is the earlier one is known by the first places of their sets
+    few = index.where("b is not null").groupBy("a", "b").agg(F.sum("pos").alias("have"), F.max("n").alias("share")).where("have >= share").select("a", "b").join(at("a", "at"), "a").join(at("b", "bt"), "b")
+    few = few.select(F.when(F.col("at") < F.col("bt"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("at") < F.col("bt"), F.col("b")).otherwise(F.col("a")).alias("late"), F.least("at", "bt").alias("at"))
+    few = stored(few.distinct(), "line-pairs")
+    groups = index.where("b is null").select("sig", F.col("a").alias("id"), "bits", "n", "pos", "role").join(at("id", "at"), "id")
     groups = stored(groups, "line-groups")
-    near = lambda p, q: (F.least(p("n"), q("n")) * 5 >= F.greatest(p("n"), q("n")) * 4) & (9 * (F.least(p("pos"), q("pos")) + 1 + F.least(p("n") - p("pos"), q("n") - q("pos")) - 1) >= 4 * (p("n") + q("n")))
     col = lambda a: lambda c: F.col(f"{a}.{c}")
-    # Each signature's holders against the earliest, which settles most members of large groups of near copies ...
-    hub = groups.groupBy("sig").agg(F.min(F.struct("at", "id", "n", "pos")).alias("hub"))
-    star = groups.alias("y").join(hub.select("sig", "hub.*").alias("x"), "sig").where(F.col("x.id") != F.col("y.id")).where(near(col("x"), col("y")))
-    star = stored(star.select(F.col("x.id").alias("early"), F.col("y.id").alias("late")).distinct(), "line-star")
+
+    def close(p, q):
+        only = lambda r, s: F.bit_count(r("bits").bitwiseAND(F.bitwise_not(s("bits"))))
+        most = F.least(F.least(p("pos"), q("pos")) + F.least(p("n") - p("pos"), q("n") - q("pos")), p("n") - only(p, q), q("n") - only(q, p))
+        fits = (F.least(p("n"), q("n")) * 5 >= F.greatest(p("n"), q("n")) * 4) & (9 * most >= 4 * (p("n") + q("n")))
+        return fits | (F.greatest(p("n"), q("n")) == _BIG)
+
+    # Signatures of many sets: each against the earliest. Of these and the pairs of few, the earliest partner of each comes
+    # first, which settles most members of groups of near copies ...
+    hub = groups.groupBy("sig").agg(F.min(F.struct("at", "id", "bits", "n", "pos")).alias("hub"))
+    star = groups.alias("y").join(hub.select("sig", "hub.*").alias("x"), "sig").where(F.col("x.id") != F.col("y.id")).where(close(col("x"), col("y")))
+    star = star.select(F.col("x.id").alias("early"), F.col("y.id").alias("late"), F.col("x.at").alias("at")).union(few)
+    star = stored(star.groupBy("late").agg(F.min_by("early", "at").alias("early")).select("early", "late"), "line-star")
     gone = stored(_similar(docs, star, by_id).select(F.col("late").alias("id")).distinct(), "line-gone")
     # ... then those that still stand against all earlier ones.
-    open_ = groups.join(gone, "id", "left_anti")
-    rest = open_.alias("y").join(groups.alias("x"), F.expr("x.sig = y.sig and x.at < y.at")).where(near(col("x"), col("y")))
-    rest = rest.where("(x.n <= y.n and x.role in (2, 3) and y.role in (1, 3)) or (x.n >= y.n and x.role in (1, 3) and y.role in (2, 3))")
-    rest = stored(rest.select(F.col("x.id").alias("early"), F.col("y.id").alias("late")).distinct().join(star, ["early", "late"], "left_anti"), "line-rest")
+    still = groups.join(gone, "id", "left_anti")
+    rest = still.alias("y").join(groups.alias("x"), F.expr("x.sig = y.sig and x.at < y.at")).where(close(col("x"), col("y")))
+    rest = rest.where(f"x.n = {_BIG} or y.n = {_BIG} or (x.n <= y.n and x.role & 2 > 0 and y.role & 1 > 0) or (x.n >= y.n and x.role & 1 > 0 and y.role & 2 > 0)")
+    rest = rest.select(F.col("x.id").alias("early"), F.col("y.id").alias("late")).union(few.select("early", "late").join(gone, F.col("late") == F.col("id"), "left_anti"))
+    rest = stored(rest.distinct().join(star, ["early", "late"], "left_anti"), "line-rest")
     if not rest.isEmpty():
         gone = stored(gone.union(_similar(docs, rest, by_id).select(F.col("late").alias("id"))).distinct(), "line-gone")
     classes = first.join(gone.withColumn("gone", F.lit(True)), "id", "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, WordHashes, ascii_words, batches, bloom_has, bloom_of, components, mix, release, shingle_hashes, stored, task_count
+from sylvan.llm.common import U64, batches, bloom_has, bloom_of, components, forget, lean, lean_group, mix, release, shingles, stored, task_count
 
 #: Document frequency from which a shingle may be called frequent, and the most entries of the list of frequent ones.
 FREQUENT_FROM, FREQUENT_MOST = 8, 1_000_000
@@ -34,8 +34,13 @@ _HELD = 1_500_000
 _TURNS = 6
 
 
-def _sets(texts: list, cache: WordHashes, k: int) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes(cache.of(ascii_words(t)), k)) for t in texts]
+def _set(h: np.ndarray) -> np.ndarray:
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) > 1 else h
+
+
+def _sets(texts: list, k: int) -> list[np.ndarray]:
+    return [_set(h) for lo in range(0, len(texts), 250) for h in shingles(texts[lo : lo + 250], k)]
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -54,66 +59,88 @@ def _unpack6(b: bytes) -> np.ndarray:
 
 def _by_bucket(bucket: np.ndarray, n: int):
     """Order that sorts by bucket, and the bounds of each bucket in it."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")  # a radix sort
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def frequent_shingles(docs: DataFrame, k: int, at_least: int = FREQUENT_FROM, most: int = FREQUENT_MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (upper 48 bits of the hash, ascending) and document frequencies of the frequent shingles.
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """Rows of documents (bucket null: doc_id, n shingles, digest of the set) and of shingle counts, in blocks by bucket.
 
-    All shingles of all documents are counted. The list holds those of the least power-of-two frequency, ``at_least`` or more,
-    for which it has ``most`` entries or fewer.
+    A count block holds the upper 48 bits of the hashes of shingles that a task saw once, and of those that it saw more often
+    with their numbers.
     """
     n_buckets = min(1 << 15, 4 * task_count(docs))
+    names = ["bucket", "doc_id", "n_shingles", "digest", "once", "more", "times"]
 
-    def count(rows):
-        cache, held, n = WordHashes(), [], 0
+    def run(rows):
+        held, n = [], 0
 
         def flush():
             keys, times = np.unique(np.concatenate(held), return_counts=True)
-            order, cut = _by_bucket((keys & U64(0xFFFF)).astype(np.int64) % n_buckets, n_buckets)
-            keys, times = keys[order], times[order].astype("<u4")
-            out = {"bucket": [], "once": [], "more": [], "times": []}
+            # buckets are ranges of the sorted keys
+            cut = np.searchsorted(keys, (np.arange(n_buckets + 1, dtype=np.float64) * (2.0**64 / n_buckets)).clip(0, 2.0**64 - 2048).astype(U64))
+            cut[-1] = len(keys)
+            times = times.astype("<u4")
+            out: list[list] = [[], [], [], []]
             for b in range(n_buckets):
                 x, t = keys[cut[b] : cut[b + 1]], times[cut[b] : cut[b + 1]]
                 if len(x):
-                    for name, v in (("bucket", b), ("once", _pack6(x[t == 1])), ("more", _pack6(x[t > 1])), ("times", t[t > 1].tobytes())):
-                        out[name].append(v)
+                    for c, v in zip(out, (b, _pack6(x[t == 1]), _pack6(x[t > 1]), t[t > 1].tobytes()), strict=True):
+                        c.append(v)
             held.clear()
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("once", "more", "times")}})
+            none, no_bytes = pa.nulls(len(out[0]), pa.int64()), pa.nulls(len(out[0]), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), none, none, no_bytes, *(pa.array(c, pa.binary()) for c in out[1:])], names)
 
-        for (texts,) in batches(rows, "text"):
-            for s in _sets(texts, cache, k):
-                held.append(s)
-                n += len(s)
+        for ids, texts in batches(rows, "doc_id", "text"):
+            for lo in range(0, len(ids), 500):
+                sets = _sets(texts[lo : lo + 500], k)
+                no_bytes = pa.nulls(len(sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int32()), pa.array(ids[lo : lo + 500], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), no_bytes, no_bytes, no_bytes], names)
+                held += sets
+                n += sum(map(len, sets))
                 if n >= _HELD:
                     yield flush()
                     n = 0
         if n:
             yield flush()
 
+    return docs.mapInArrow(lean(run), "bucket int, doc_id long, n_shingles long, digest binary, once binary, more binary, times binary")
+
+
+def frequent_shingles(described: DataFrame, at_least: int = FREQUENT_FROM, most: int = FREQUENT_MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (upper 48 bits of the hash, ascending) and document frequencies of the frequent shingles, and a Bloom filter of the
+    keys of all that were counted twice or more.
+
+    All shingles of all documents are counted. The list holds those of the least power-of-two frequency, ``at_least`` or more,
+    for which it has ``most`` entries or fewer. A shingle that the filter lacks is in one document only and needs no signature;
+    the filter is bounded, and where it is full it lacks nothing.
+    """
+
     def total(t: pa.Table) -> pa.Table:
         once, more, times = (t.column(c).to_pylist() for c in ("once", "more", "times"))
         keys = np.concatenate([_unpack6(b"".join(once)), _unpack6(b"".join(more))])
         weight = np.concatenate([np.ones(len(keys) - sum(map(len, more)) // 6, np.int64), np.frombuffer(b"".join(times), "<u4").astype(np.int64)])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, weight = keys[order], weight[order]
         start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         sums = np.add.reduceat(weight, start) if len(keys) else weight
-        ok = sums >= at_least
+        ok = sums >= 2
         return pa.table({"key": keys[start][ok].astype(np.int64), "df": sums[ok]})
 
-    found = stored(docs.select("text").mapInArrow(count, "bucket int, once binary, more binary, times binary").groupBy("bucket").applyInArrow(total, "key long, df long"), "shingle-df")
-    levels = {r["level"]: r["n"] for r in found.groupBy(F.floor(F.log2("df")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()}
-    level = max(levels, default=0) + 1
-    while level > 0 and sum(n for x, n in levels.items() if x >= level - 1) <= most and level - 1 >= min(levels, default=0):
-        level -= 1
-    t = found.where(F.floor(F.log2("df")) >= level).toArrow()
+    blocks = described.where("bucket is not null").select("bucket", "once", "more", "times")
+    found = stored(blocks.groupBy("bucket").applyInArrow(lean_group(total), "key long, df long"), "shingle-df")
+    repeated = bloom_of(found.select("key"))
+    levels = {r["level"]: r["n"] for r in found.where(F.col("df") >= at_least).groupBy(F.floor(F.log2("df")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()}
+    level = min(levels, default=0)
+    while sum(n for x, n in levels.items() if x >= level) > most:
+        level += 1
+    t = found.where((F.col("df") >= at_least) & (F.floor(F.log2("df")) >= level)).toArrow()
+    forget(found)
     keys, df = t.column("key").to_numpy().astype(U64), t.column("df").to_numpy()
     order = np.lexsort((-df, keys))
     keys, df = keys[order], df[order]
     first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    return keys[first], df[first]
+    return keys[first], df[first], repeated
 
 
 def _band(n: int) -> int:
@@ -121,12 +148,17 @@ def _band(n: int) -> int:
     return math.floor(math.log(n) / math.log(1.25))
 
 
-def _pairs(order: np.ndarray, band: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+def pair_hash(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
+    """The signature of two frequent shingles, in either order, for sets of a band."""
+    return mix(np.minimum(x, y) * U64(0x9E3779B97F4A7C15) + np.maximum(x, y) + U64(2 * band + 1))
+
+
+def _pairs(order: np.ndarray, band: int, need: int, n_groups: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of frequent shingles, given in global order: pairs within groups, until the count reaches ``need``.
 
     With each comes the place in ``order`` of its later shingle.
     """
-    n_groups = max(1, int(1.25**band) // 15)
+    n_groups = n_groups or max(1, int(1.25**band) // 15)
     group = (mix(order + U64(band)) % U64(n_groups)).astype(np.int64)
     seen: dict[int, list[int]] = {}
     out, got = [], 0
@@ -140,12 +172,12 @@ def _pairs(order: np.ndarray, band: int, need: int) -> tuple[np.ndarray, np.ndar
     if not out:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     a = np.array(out)
-    x, y = order[a[:, 0]], order[a[:, 1]]
-    return mix(np.minimum(x, y) * U64(0x9E3779B97F4A7C15) + np.maximum(x, y) + U64(2 * band + 1)), a[:, 1]
+    return pair_hash(order[a[:, 0]], order[a[:, 1]], band), a[:, 1]
 
 
-def signatures(s: np.ndarray, keys: np.ndarray, df: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """(signatures, role) of a set: role 1 probes as the larger set, 2 is indexed as the smaller one, 3 both."""
+def signatures(s: np.ndarray, keys: np.ndarray, df: np.ndarray, repeated: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(signatures, positions in the global order, role) of a set: role 1 probes as the larger set, 2 is indexed as the smaller
+    one, 3 both."""
     n = len(s)
     if n < 4:  # only equal sets can link, and those are one class already
         return []
@@ -154,30 +186,31 @@ def signatures(s: np.ndarray, keys: np.ndarray, df: np.ndarray) -> list[tuple[np
     often = keys[at] == key if len(keys) else np.zeros(n, bool)
     rare, common = s[~often], s[often]
     probe, index = n // 5 + 1, n // 9 + 1
-    out = [(rare[:index], 3), (rare[index:probe], 1)]
+    at_rare = np.flatnonzero(bloom_has(repeated, rare[:probe] >> U64(16)))
+    n_index = int(np.searchsorted(at_rare, index))
+    out = [(rare[at_rare[:n_index]], at_rare[:n_index], 3), (rare[at_rare[n_index:]], at_rare[n_index:], 1)]
     if len(rare) < probe and len(common):
         order = common[np.lexsort((common, df[at[often]]))]
         band = _band(n)
-        out.append((_pairs(order, band, probe - len(rare))[0], 1))
-        if len(rare) < index:
-            out += [(_pairs(order, b, index - len(rare))[0], 2) for b in (band, band + 1)]
-    return [(x, r) for x, r in out if len(x)]
+        wanted = [(band, probe, 1)] + [(b, index, 2) for b in (band, band + 1) if len(rare) < index]
+        for b, prefix, role in wanted:
+            sig, last = _pairs(order, b, prefix - len(rare))
+            out.append((sig, last + len(rare), role))
+    return [x for x in out if len(x[0])]
 
 
-def candidate_groups(docs: DataFrame, k: int, keys: np.ndarray, df: np.ndarray) -> DataFrame:
-    """(sig, doc_id, n, role) of the signatures that two different sets or more hold, one row for each set of a signature.
+def candidate_groups(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """(sig, doc_id, n, pos, role) of the signatures that two different sets or more hold, one row for each set of a signature.
 
     Signatures travel in binary blocks by hash bucket. A task passes a signature on once for each different set that it
     holds, and the documents of one set count as one.
     """
     n_buckets = min(1 << 15, 4 * task_count(docs))
-    shared = docs.sparkSession.sparkContext.broadcast((keys, df))
-    kind = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("set", "<u4"), ("n", "<u4"), ("role", "u1")])
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    kind = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("set", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("role", "u1")])
 
     def make(rows):
-        keys, df = shared.value
-        cache, held, n = WordHashes(), [], 0
-        known: set = set()
+        held, n, known = [], 0, set()
 
         def flush():
             x = np.concatenate(held)
@@ -188,16 +221,16 @@ def candidate_groups(docs: DataFrame, k: int, keys: np.ndarray, df: np.ndarray)
             return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "rows": pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())})
 
         for ids, texts in batches(rows, "doc_id", "text"):
-            for doc, s in zip(ids, _sets(texts, cache, k), strict=True):
+            for doc, s in zip(ids, _sets(texts, k), strict=True):
                 d = _digest(s)
                 if doc is None or d in known:
                     continue
                 if len(known) > 500_000:
                     known.clear()
                 known.add(d)
-                for sig, role in signatures(s, keys, df):
+                for sig, pos, role in signatures(s, *shared.value):
                     x = np.zeros(len(sig), kind)
-                    x["sig"], x["doc"], x["set"], x["n"], x["role"] = sig, doc, int.from_bytes(d[:4], "little"), len(s), role
+                    x["sig"], x["doc"], x["set"], x["n"], x["pos"], x["role"] = sig, doc, int.from_bytes(d[:4], "little"), len(s), pos, role
                     held.append(x)
                     n += len(x)
                 if n >= _HELD // 3:
@@ -208,6 +241,11 @@ def candidate_groups(docs: DataFrame, k: int, keys: np.ndarray, df: np.ndarray)
 
     def shared_only(t: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(t.column("rows").to_pylist()), kind)
+        # most signatures have one holder: those go before the rows are put in order
+        order = np.argsort(x["sig"])
+        sig = x["sig"][order]
+        alone = np.r_[True, sig[1:] != sig[:-1]] & np.r_[sig[1:] != sig[:-1], True] if len(x) else np.zeros(0, bool)
+        x = x[order[~alone]]
         x = x[np.lexsort((x["doc"], x["n"], x["set"], x["sig"]))]
         same = np.ones(len(x), bool)
         same[:1] = False
@@ -220,10 +258,10 @@ def candidate_groups(docs: DataFrame, k: int, keys: np.ndarray, df: np.ndarray)
         start = np.flatnonzero(np.r_[True, x["sig"][1:] != x["sig"][:-1]])
         size = np.diff(np.r_[start, len(x)])
         x = x[np.repeat(size > 1, size)]
-        return pa.table({"sig": x["sig"].astype(np.int64), "doc_id": x["doc"], "n": x["n"].astype(np.int64), "role": x["role"].astype(np.int32)})
+        return pa.table({"sig": x["sig"].astype(np.int64), "doc_id": x["doc"], "n": x["n"].astype(np.int64), "pos": x["pos"].astype(np.int64), "role": x["role"].astype(np.int32)})
 
-    blocks = docs.select("doc_id", "text").mapInArrow(make, "bucket int, rows binary")
-    return blocks.groupBy("bucket").applyInArrow(shared_only, "sig long, doc_id long, n long, role int")
+    blocks = docs.select("doc_id", "text").mapInArrow(lean(make), "bucket int, rows binary")
+    return blocks.groupBy("bucket").applyInArrow(lean_group(shared_only), "sig long, doc_id long, n long, pos long, role int")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -232,13 +270,12 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     bits = spark.sparkContext.broadcast(bloom_of(pairs.select("a").union(pairs.select("b")).distinct()))
 
     def sets(rows):
-        cache = WordHashes()
         for b in rows:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(bloom_has(bits.value, ids))
             texts = b.column(1).take(pa.array(hit)).to_pylist()
             for i in range(0, len(hit), 500):
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[hit[i : i + 500]], pa.int64()), "hashes": pa.array([s.tobytes() for s in _sets(texts[i : i + 500], cache, k)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[hit[i : i + 500]], pa.int64()), "hashes": pa.array([s.tobytes() for s in _sets(texts[i : i + 500], k)], pa.binary())})
 
     def verify(rows):
         for a, b, x, y in batches(rows, "a", "b", "x", "y"):
@@ -249,10 +286,10 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, o in zip(a, ok, strict=True) if o], pa.int64()), "b": pa.array([v for v, o in zip(b, ok, strict=True) if o], pa.int64())})
 
-    have = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "id long, hashes binary")
+    have = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(lean(sets), "id long, hashes binary")
     one = pairs.join(have.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     both = one.join(have.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -268,28 +305,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def describe(rows):
-        cache = WordHashes()
-        for ids, texts in batches(rows, "doc_id", "text"):
-            s = _sets(texts, cache, k)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(map(len, s), pa.int64()), "digest": pa.array([_digest(x) for x in s], pa.binary())})
+    described = stored(describe(docs, k), "shingle-sets")
+    frequent = frequent_shingles(described)
+    info = stored(described.where("bucket is null").select("doc_id", "n_shingles", "digest"), "shingle-info")
+    forget(described)
+    groups = stored(candidate_groups(docs, k, frequent), "shingle-groups")
 
-    info = stored(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary"), "shingle-sets")
-    keys, df = frequent_shingles(docs, k)
-    groups = stored(candidate_groups(docs, k, keys, df), "shingle-groups")
+    def close(p, q):
+        """Length and positional filters for Jaccard 0.8 or more: what stands before and after a shared signature is enough."""
+        most = F.least(p("pos"), q("pos")) + F.least(p("n") - p("pos"), q("n") - q("pos"))
+        return (F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent) & (9 * most >= 4 * (p("n") + q("n")))
 
     # Each signature's holders against one of them, and again while many holders of a signature are apart ...
     links, tried, left, before = None, None, groups.withColumn("c", F.col("doc_id")), None
     for turn in range(_TURNS):
-        hub = left.groupBy("sig").agg(F.min_by(F.struct("n", "doc_id"), F.xxhash64("doc_id", F.lit(turn))).alias("hub"))
-        near = (F.least("hub.n", "n") * 100 >= F.greatest("hub.n", "n") * percent) & (F.col("hub.doc_id") != F.col("doc_id"))
-        star = left.join(hub, "sig").where(near).select(F.least("hub.doc_id", "doc_id").alias("a"), F.greatest("hub.doc_id", "doc_id").alias("b")).distinct()
+        hub = left.groupBy("sig").agg(F.min_by(F.struct("n", "pos", "doc_id"), F.xxhash64("doc_id", F.lit(turn))).alias("hub"))
+        near = close(lambda c: F.col(f"hub.{c}"), F.col) & (F.col("hub.doc_id") != F.col("doc_id"))
+        # one partner for each document and turn, however many signatures it shares with others
+        one = left.join(hub, "sig").where(near).groupBy("doc_id").agg(F.min_by("hub.doc_id", F.xxhash64("hub.doc_id", F.lit(turn))).alias("hub"))
+        star = one.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
         star = stored(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "shingle-star")
         found = _linked(docs, star, k, percent)
         links = stored(found if links is None else links.union(found), "shingle-links")
         tried = star if tried is None else tried.union(star)
         reached = components(links)
-        left = left.drop("c").join(reached, left.doc_id == reached.id, "left").select("sig", "doc_id", "n", "role", F.coalesce("component", "doc_id").alias("c"))
+        left = left.drop("c").join(reached, left.doc_id == reached.id, "left").select("sig", "doc_id", "n", "pos", "role", F.coalesce("component", "doc_id").alias("c"))
         sizes = left.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1")
         left = stored(left.join(sizes.select("sig"), "sig", "left_semi"), "shingle-apart")
         rows, pairs = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0))).first()
@@ -299,7 +339,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     # ... then the holders that are still apart among themselves.
     x, y = left.where("role in (2, 3)").alias("x"), left.where("role in (1, 3)").alias("y")
-    rest = x.join(y, F.expr(f"x.sig = y.sig and x.c <> y.c and x.n <= y.n and x.n * 100 >= y.n * {percent}"))
+    rest = x.join(y, F.expr("x.sig = y.sig and x.c <> y.c and x.n <= y.n") & close(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "shingle-rest")
     if not rest.isEmpty():

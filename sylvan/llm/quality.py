@@ -15,17 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, WordHashes, ascii_words, batches, lean, mix, stored
+from sylvan.llm.common import U64, Words, batches, lean, mix, stored
 
 N_BUCKETS = 1 << 18
 #: Pseudo-counts by which a bucket's target count is drawn to what all text would give.
 PRIOR = 100.0
 
 
-def _features(text: str | None, cache: WordHashes) -> np.ndarray:
-    """Buckets of the unigrams and bigrams of a text."""
-    h = cache.of(ascii_words(text))
-    return (np.concatenate([h, mix(h[1:] * U64(31) + h[:-1]), np.where(h[1:] == h[:-1], U64(1), U64(2))]) % U64(N_BUCKETS)).astype(np.int64)
+def _features(texts: list) -> list[np.ndarray]:
+    """Buckets of the unigrams and bigrams of each text."""
+    w, out = Words(texts), []
+    for a, b in zip(w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True):
+        h = w.hash[a:b]
+        out.append((np.concatenate([h, mix(h[1:] * U64(31) + h[:-1]), np.where(h[1:] == h[:-1], U64(1), U64(2))]) % U64(N_BUCKETS)).astype(np.int64))
+    return out
 
 
 def labelled_sample(labels: DataFrame, max_rows: int = 20_000, salt: str = "quality") -> dict[int, bool]:
@@ -46,11 +49,10 @@ def fit(docs: DataFrame, target: set[int]) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(target))
 
     def count(rows):
-        cache = WordHashes()
         raw, good = np.zeros(N_BUCKETS, np.int64), np.zeros(N_BUCKETS, np.int64)
         for ids, texts in batches(rows, "doc_id", "text"):
             for lo in range(0, len(ids), 500):
-                found = [_features(t, cache) for t in texts[lo : lo + 500]]
+                found = _features(texts[lo : lo + 500])
                 raw += np.bincount(np.concatenate(found), minlength=N_BUCKETS)
                 of_target = [f for f, doc in zip(found, ids[lo : lo + 500], strict=True) if doc in shared.value]
                 if of_target:
@@ -70,9 +72,8 @@ def scores(docs: DataFrame, ratio: np.ndarray, seed: int = 5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(rows):
-        cache = WordHashes()
         for ids, texts in batches(rows, "doc_id", "text"):
-            s = np.array([shared.value[_features(t, cache)].sum() for t in texts])
+            s = np.array([shared.value[f].sum() for f in _features(texts)])
             u = (mix(np.array([(i or 0) & (1 << 64) - 1 for i in ids], U64) * U64(2 * seed + 1) + U64(seed)) >> U64(11)).astype(np.float64)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": s, "key": s - np.log(-np.log((u + 0.5) / (1 << 53)))})
 
