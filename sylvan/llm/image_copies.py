@@ -15,14 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, batches, bloom_has, bloom_of, components, mix, stored, task_count
+from sylvan.llm.common import U64, batches, bloom_has, bloom_of, components, lean, lean_group, mix, stored, task_count
 from sylvan.llm.ngram_join import _HELD, _by_bucket
 
 _SCALES = (1.0, 2.0)
 _MARGIN, _RADIUS, _TURNS_OF = 12, 7, 32
 _HEADER = re.compile(rb"\A(P[56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
 _CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", 16)])
+_ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8"), ("d0", "<u8"), ("d1", "<u8"), ("n0", "<u8"), ("n1", "<u8")])
 _TURNS = 5
+#: Images that share a key up to which all pairs of them are looked at in place.
+SMALL = 16
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -120,23 +123,35 @@ def image_corners(data: list) -> list[np.ndarray]:
     return out
 
 
-def keys(c: np.ndarray) -> np.ndarray:
-    """Distinct join keys of an image: each quarter of a descriptor with the same quarter of a neighbour.
+def keys(c: np.ndarray, image: int) -> np.ndarray:
+    """Entries of the join for an image: each quarter of a descriptor with the same quarter of a neighbour, and both whole.
 
-    Neighbours are the two nearest corners of the same scale, which a crop or an edit elsewhere leaves in place; flat or
-    repetitive patches alone would bring unrelated images together.
+    Neighbours are the two nearest corners of the same scale, which a crop or an edit elsewhere leaves in place; one patch
+    alone, often flat or repetitive, would bring unrelated images together.
     """
-    out = []
+    out = [np.zeros(0, _ENTRY)]
     for scale in np.unique(c["scale"]).tolist():
         p = c[c["scale"] == scale]
         if len(p) < 2:
             continue
-        q = np.ascontiguousarray(p["bits"]).view("<u4").reshape(-1, 4).astype(U64) * U64(4) + np.arange(4, dtype=U64)
+        bits = np.ascontiguousarray(p["bits"])
+        q, whole = mix(bits.view("<u4").reshape(-1, 4).astype(U64) * U64(4) + np.arange(4, dtype=U64)), bits.view("<u8").reshape(-1, 2)
         d = (p["x"][:, None] - p["x"]) ** 2 + (p["y"][:, None] - p["y"]) ** 2
         np.fill_diagonal(d, np.inf)
         for near in np.argsort(d, axis=1, kind="stable")[:, :2].T:
-            out.append(mix(mix(q) * U64(0x9E3779B97F4A7C15) + mix(q[near])).ravel())
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
+            e = np.zeros((len(p), 4), _ENTRY)
+            e["sig"], e["id"] = mix(q * U64(0x9E3779B97F4A7C15) + mix(q[near])), image
+            for k in (0, 1):
+                e[f"d{k}"], e[f"n{k}"] = whole[:, k, None], whole[near, k, None]
+            out.append(e.ravel())
+    e = np.concatenate(out)
+    return e[np.unique(e["sig"], return_index=True)[1]]
+
+
+def alike(p: np.ndarray, q: np.ndarray, distance: int = 20) -> np.ndarray:
+    """Which pairs of entries have both descriptors within a Hamming distance."""
+    apart = lambda c: np.bitwise_count(p[f"{c}0"] ^ q[f"{c}0"]) + np.bitwise_count(p[f"{c}1"] ^ q[f"{c}1"])
+    return (p["id"] != q["id"]) & (apart("d") <= distance) & (apart("n") <= distance)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray, distance: int = 20, slack: float = 3.0) -> int:
@@ -181,9 +196,8 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
     classes = info.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     classes = stored(classes, "image-classes")
     unique = images.withColumn("digest", digest).join(classes, "digest").where("id = rep").dropDuplicates(["id"]).select("id", "image")
-    held = stored(unique.mapInArrow(describe, "id long, n_corners long, corners binary"), "image-corners")
+    held = stored(unique.mapInArrow(lean(describe), "id long, n_corners long, corners binary"), "image-corners")
     n_buckets = min(1 << 15, 8 * task_count(held))
-    kind = np.dtype([("sig", "<u8"), ("id", "<i8")])
 
     def index(rows):
         out, n = [], 0
@@ -198,27 +212,41 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
 
         for ids, blobs in batches(rows, "id", "corners"):
             for i, blob in zip(ids, blobs, strict=True):
-                k = keys(np.frombuffer(blob, _CORNER))
-                e = np.zeros(len(k), kind)
-                e["sig"], e["id"] = k, i
-                out.append(e)
-                n += len(k)
-                if n >= _HELD:
+                out.append(keys(np.frombuffer(blob, _CORNER), i))
+                n += len(out[-1])
+                if n >= _HELD // 4:
                     yield flush()
                     n = 0
         if n:
             yield flush()
 
     def shared_only(t: pa.Table) -> pa.Table:
-        e = np.frombuffer(b"".join(t.column("rows").to_pylist()), kind)
+        e = np.frombuffer(b"".join(t.column("rows").to_pylist()), _ENTRY)
         e = e[np.argsort(e["sig"], kind="stable")]
         start = np.flatnonzero(np.r_[True, e["sig"][1:] != e["sig"][:-1]]) if len(e) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(e)])
-        e = e[np.repeat(size > 1, size)] if len(e) else e
-        return pa.table({"sig": e["sig"].astype(np.int64), "id": e["id"]})
-
-    entries = held.select("id", "corners").mapInArrow(index, "bucket int, rows binary").groupBy("bucket").applyInArrow(shared_only, "sig long, id long")
-    entries = stored(entries, "image-keys")
+        pairs = [np.zeros((0, 2), np.int64)]
+        for g in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+            i, j = np.triu_indices(g, 1)
+            at = start[size == g]
+            for lo in range(0, len(at), 1 + 200_000 // len(i)):
+                some = at[lo : lo + 1 + 200_000 // len(i), None]
+                p, q = e[(some + i).ravel()], e[(some + j).ravel()]
+                ok = alike(p, q)
+                pairs.append(np.stack([np.minimum(p["id"][ok], q["id"][ok]), np.maximum(p["id"][ok], q["id"][ok])], axis=1))
+        two = np.unique(np.concatenate(pairs), axis=0)
+        e = e[np.repeat(size > SMALL, size)] if len(e) else e
+        columns = {"id": pa.array(np.r_[two[:, 0], e["id"]])}
+        columns["other"] = pa.array(np.r_[two[:, 1], np.zeros(len(e), np.int64)], mask=np.r_[np.zeros(len(two), bool), np.ones(len(e), bool)])
+        for c in ("sig", "d0", "d1", "n0", "n1"):
+            columns[c] = pa.array(np.r_[np.zeros(len(two), np.int64), e[c].astype(np.int64)])
+        return pa.table(columns)
+
+    entries = held.select("id", "corners").mapInArrow(lean(index), "bucket int, rows binary").groupBy("bucket")
+    entries = stored(entries.applyInArrow(lean_group(shared_only), "id long, other long, sig long, d0 long, d1 long, n0 long, n1 long"), "image-keys")
+    few = entries.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    apart = lambda p, q, c: F.bit_count(F.col(f"{p}.{c}0").bitwiseXOR(F.col(f"{q}.{c}0"))) + F.bit_count(F.col(f"{p}.{c}1").bitwiseXOR(F.col(f"{q}.{c}1")))
+    close = lambda p, q: (apart(p, q, "d") <= 20) & (apart(p, q, "n") <= 20)
 
     def verified(pairs: DataFrame) -> DataFrame:
         def verify(rows):
@@ -228,13 +256,15 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
 
         have = held.select("id", "corners")
         one = pairs.join(have.select(F.col("id").alias("b"), F.col("corners").alias("q")), "b")
-        return one.join(have.select(F.col("id").alias("a"), F.col("corners").alias("p")), "a").select("a", "b", "p", "q").mapInArrow(verify, "a long, b long")
+        return one.join(have.select(F.col("id").alias("a"), F.col("corners").alias("p")), "a").select("a", "b", "p", "q").mapInArrow(lean(verify), "a long, b long")
 
-    links, tried, left, before = None, None, entries.withColumn("c", F.col("id")), None
+    links, tried, before = None, None, None
+    left = entries.where("other is null").drop("other").withColumn("c", F.col("id"))
     for turn in range(_TURNS):
         h = lambda c: F.xxhash64(c, F.lit(seed + turn))  # noqa: B023, E731
-        hubs = left.groupBy("sig").agg(F.min(F.struct(h("id"), "id", "c")).alias("h"), F.max(F.struct(h("id"), "id", "c")).alias("k"))
-        one = left.join(hubs, "sig").select("id", F.when(F.col("h.c") != F.col("c"), F.col("h.id")).when(F.col("k.c") != F.col("c"), F.col("k.id")).alias("hub")).where("hub is not null")
+        whole = F.struct(h("id"), "id", "c", "d0", "d1", "n0", "n1")
+        hubs = left.groupBy("sig").agg(F.min(whole).alias("h"), F.max(whole).alias("k"))
+        one = left.alias("x").join(hubs, "sig").select(F.col("x.id").alias("id"), F.when((F.col("h.c") != F.col("x.c")) & close("x", "h"), F.col("h.id")).when((F.col("k.c") != F.col("x.c")) & close("x", "k"), F.col("k.id")).alias("hub")).where("hub is not null")
         one = one.groupBy("id", "hub").agg(F.count("*").alias("n")).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"), "id", "n")
         one = one if tried is None else one.join(tried, ["a", "b"], "left_anti")
         pairs = stored(one.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("n", F.xxhash64("a", "b"))).alias("p")).select("p.*").distinct(), "image-pairs")
@@ -242,15 +272,17 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
         links = stored(got if links is None else links.union(got), "image-links")
         tried = pairs if tried is None else tried.union(pairs)
         reached = components(links).withColumnRenamed("id", "v")
-        left = left.drop("c").join(reached, F.col("id") == F.col("v"), "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
+        left = left.drop("c").join(reached, F.col("id") == F.col("v"), "left").select("sig", "id", "d0", "d1", "n0", "n1", F.coalesce("component", "id").alias("c"))
         sizes = left.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1")
         left = stored(left.join(sizes.select("sig"), "sig", "left_semi"), "image-left")
-        n, apart = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0))).first()
-        if apart <= 2 * n + 1000 or before is not None and apart > 0.8 * before:
+        n, open_pairs = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0))).first()
+        if open_pairs <= 2 * n + 1000 or before is not None and open_pairs > 0.8 * before:
             break
-        before = apart
-    rest = left.alias("x").join(left.alias("y"), F.expr("x.sig = y.sig and x.c <> y.c and x.id < y.id")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("n"))
-    rest = stored(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"), "image-rest")
+        before = open_pairs
+    rest = left.alias("x").join(left.alias("y"), F.expr("x.sig = y.sig and x.c <> y.c and x.id < y.id") & close("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    of = lambda c, as_: reached.select(F.col("v").alias(c), F.col("component").alias(as_))
+    few = few.join(of("a", "p"), "a", "left").join(of("b", "q"), "b", "left").where(F.coalesce("p", "a") != F.coalesce("q", "b"))
+    rest = stored(rest.union(few.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "image-rest")
     if not rest.isEmpty():
         links = links.union(verified(rest))
     reached = components(links).withColumnRenamed("id", "v")
@@ -295,4 +327,4 @@ def rendered(vectors: DataFrame, block: int = 6) -> DataFrame:
                 out.append(encode(_enlarged(np.pad(grid.reshape(-1, w), min(2, w - 1), mode="reflect") if len(grid) >= 4 * w else grid.reshape(-1, w), block)))
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "image": pa.array(out, pa.binary())})
 
-    return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(draw, "id long, image binary")
+    return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(lean(draw), "id long, image binary")
