@@ -1,7 +1,7 @@
 """Set-similarity self-join on word shingles by token-combination prefixes.
 
-Every document is the set of its distinct k-word shingles (64-bit hashes). Shingles are put in one global order: the rare
-ones first, then those of the frequent class by rising document frequency. A document indexes a prefix of its shingles:
+Every document is the set of its distinct k-word shingles (64-bit hashes). Shingles are put in one global order: those of one
+document only first, then the other rare ones, then those of the frequent class by rising document frequency. A document indexes a prefix of its shingles:
 rare ones singly, frequent ones in pairs taken inside hash groups whose number follows the size of the set.
 
 Why no link is lost. Let x be the larger and y the smaller set of a pair with Jaccard t or more. At most |x|/5 shingles of x
@@ -175,20 +175,25 @@ def _pairs(order: np.ndarray, band: int, need: int, n_groups: int | None = None)
     return pair_hash(order[a[:, 0]], order[a[:, 1]], band), a[:, 1]
 
 
-def signatures(s: np.ndarray, keys: np.ndarray, df: np.ndarray, repeated: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(signatures, positions in the global order, role) of a set: role 1 probes as the larger set, 2 is indexed as the smaller
-    one, 3 both."""
+def signatures(s: np.ndarray, keys: np.ndarray, df: np.ndarray, repeated: np.ndarray) -> tuple[int, list[tuple[np.ndarray, np.ndarray, int]]]:
+    """How many shingles of a set may be in other sets, and (signatures, positions among those, role).
+
+    Role 1 probes as the larger set, 2 is indexed as the smaller one, 3 both. Shingles of this document alone come first in the
+    global order: they use up places in a prefix and need no signature. Where they are more than a fifth, nothing can link.
+    """
     n = len(s)
     if n < 4:  # only equal sets can link, and those are one class already
-        return []
+        return 0, []
     key = s >> U64(16)
     at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
     often = keys[at] == key if len(keys) else np.zeros(n, bool)
     rare, common = s[~often], s[often]
-    probe, index = n // 5 + 1, n // 9 + 1
-    at_rare = np.flatnonzero(bloom_has(repeated, rare[:probe] >> U64(16)))
-    n_index = int(np.searchsorted(at_rare, index))
-    out = [(rare[at_rare[:n_index]], at_rare[:n_index], 3), (rare[at_rare[n_index:]], at_rare[n_index:], 1)]
+    rare = rare[bloom_has(repeated, rare >> U64(16))]
+    shareable = len(rare) + len(common)
+    probe, index = n // 5 + 1 - (n - shareable), max(0, n // 9 + 1 - (n - shareable))
+    if probe <= 0:
+        return shareable, []
+    out = [(rare[:index], np.arange(min(index, len(rare))), 3), (rare[index:probe], np.arange(index, max(index, min(probe, len(rare)))), 1)]
     if len(rare) < probe and len(common):
         order = common[np.lexsort((common, df[at[often]]))]
         band = _band(n)
@@ -196,18 +201,18 @@ def signatures(s: np.ndarray, keys: np.ndarray, df: np.ndarray, repeated: np.nda
         for b, prefix, role in wanted:
             sig, last = _pairs(order, b, prefix - len(rare))
             out.append((sig, last + len(rare), role))
-    return [x for x in out if len(x[0])]
+    return shareable, [x for x in out if len(x[0])]
 
 
 def candidate_groups(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """(sig, doc_id, n, pos, role) of the signatures that two different sets or more hold, one row for each set of a signature.
+    """(sig, doc_id, n, m, pos, role) of the signatures that two different sets or more hold, one row for each set of a signature.
 
     Signatures travel in binary blocks by hash bucket. A task passes a signature on once for each different set that it
     holds, and the documents of one set count as one.
     """
     n_buckets = min(1 << 15, 4 * task_count(docs))
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    kind = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("set", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("role", "u1")])
+    kind = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("set", "<u4"), ("n", "<u4"), ("m", "<u4"), ("pos", "<u4"), ("role", "u1")])
 
     def make(rows):
         held, n, known = [], 0, set()
@@ -228,9 +233,10 @@ def candidate_groups(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.nda
                 if len(known) > 500_000:
                     known.clear()
                 known.add(d)
-                for sig, pos, role in signatures(s, *shared.value):
+                m, found = signatures(s, *shared.value)
+                for sig, pos, role in found:
                     x = np.zeros(len(sig), kind)
-                    x["sig"], x["doc"], x["set"], x["n"], x["pos"], x["role"] = sig, doc, int.from_bytes(d[:4], "little"), len(s), pos, role
+                    x["sig"], x["doc"], x["set"], x["n"], x["m"], x["pos"], x["role"] = sig, doc, int.from_bytes(d[:4], "little"), len(s), m, pos, role
                     held.append(x)
                     n += len(x)
                 if n >= _HELD // 3:
@@ -258,10 +264,10 @@ def candidate_groups(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.nda
         start = np.flatnonzero(np.r_[True, x["sig"][1:] != x["sig"][:-1]])
         size = np.diff(np.r_[start, len(x)])
         x = x[np.repeat(size > 1, size)]
-        return pa.table({"sig": x["sig"].astype(np.int64), "doc_id": x["doc"], "n": x["n"].astype(np.int64), "pos": x["pos"].astype(np.int64), "role": x["role"].astype(np.int32)})
+        return pa.table({"sig": x["sig"].astype(np.int64), "doc_id": x["doc"], "n": x["n"].astype(np.int64), "m": x["m"].astype(np.int64), "pos": x["pos"].astype(np.int64), "role": x["role"].astype(np.int32)})
 
     blocks = docs.select("doc_id", "text").mapInArrow(lean(make), "bucket int, rows binary")
-    return blocks.groupBy("bucket").applyInArrow(lean_group(shared_only), "sig long, doc_id long, n long, pos long, role int")
+    return blocks.groupBy("bucket").applyInArrow(lean_group(shared_only), "sig long, doc_id long, n long, m long, pos long, role int")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -312,14 +318,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     groups = stored(candidate_groups(docs, k, frequent), "shingle-groups")
 
     def close(p, q):
-        """Length and positional filters for Jaccard 0.8 or more: what stands before and after a shared signature is enough."""
-        most = F.least(p("pos"), q("pos")) + F.least(p("n") - p("pos"), q("n") - q("pos"))
+        """Length and positional filters for Jaccard 0.8 or more: the shareable shingles before and after a signature suffice."""
+        most = F.least(p("pos"), q("pos")) + F.least(p("m") - p("pos"), q("m") - q("pos"))
         return (F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent) & (9 * most >= 4 * (p("n") + q("n")))
 
     # Each signature's holders against one of them, and again while many holders of a signature are apart ...
     links, tried, left, before = None, None, groups.withColumn("c", F.col("doc_id")), None
     for turn in range(_TURNS):
-        hub = left.groupBy("sig").agg(F.min_by(F.struct("n", "pos", "doc_id"), F.xxhash64("doc_id", F.lit(turn))).alias("hub"))
+        hub = left.groupBy("sig").agg(F.min_by(F.struct("n", "m", "pos", "doc_id"), F.xxhash64("doc_id", F.lit(turn))).alias("hub"))
         near = close(lambda c: F.col(f"hub.{c}"), F.col) & (F.col("hub.doc_id") != F.col("doc_id"))
         # one partner for each document and turn, however many signatures it shares with others
         one = left.join(hub, "sig").where(near).groupBy("doc_id").agg(F.min_by("hub.doc_id", F.xxhash64("hub.doc_id", F.lit(turn))).alias("hub"))
@@ -329,7 +335,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         links = stored(found if links is None else links.union(found), "shingle-links")
         tried = star if tried is None else tried.union(star)
         reached = components(links)
-        left = left.drop("c").join(reached, left.doc_id == reached.id, "left").select("sig", "doc_id", "n", "pos", "role", F.coalesce("component", "doc_id").alias("c"))
+        left = left.drop("c").join(reached, left.doc_id == reached.id, "left").select("sig", "doc_id", "n", "m", "pos", "role", F.coalesce("component", "doc_id").alias("c"))
         sizes = left.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1")
         left = stored(left.join(sizes.select("sig"), "sig", "left_semi"), "shingle-apart")
         rows, pairs = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0))).first()
