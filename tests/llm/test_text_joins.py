@@ -106,6 +106,32 @@ def test_passages(spark):
     assert spans[51][0][0] >= 33 and spans[51][0][1] - spans[51][0][0] >= 49
 
 
+def _jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_passages_beside_a_frequent_one(spark):
+    """Recall at Jaccard 0.8 where a passage that six documents share takes the first partner of each."""
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    texts, at = [], []
+    for k in range(60):
+        licence, near = licence if k % 3 else words(300), words(50)
+        changed = list(near)
+        changed[25] = "other"
+        for p in (near, changed):
+            head, mid, tail = words(rng.randrange(5, 40)), words(rng.randrange(20, 40)), words(rng.randrange(5, 40))
+            first = rng.random() < 0.5
+            texts.append(head + (p + mid + licence if first else licence + mid + p) + tail)
+            at.append(len(head) if first else len(head) + 300 + len(mid))
+    around = lambda k: [frozenset(tuple(texts[k][j : j + 5]) for j in range(i, i + 46)) for i in range(max(0, at[k] - 5), at[k] + 6) if i + 50 <= len(texts[k])]
+    want = {i for k in range(0, len(texts), 2) if any(_jaccard(x, y) >= 0.8 for x in around(k) for y in around(k + 1)) for i in (k, k + 1)}
+    assert len(want) == len(texts)
+    got = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    found = {r["doc_id"] for r in got if r["first_word"] < at[r["doc_id"]] + 25 <= r["last_word"]}
+    assert len(found & want) >= 0.8 * len(want)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert jaccard_components(docs).count() == 0
