@@ -132,6 +132,17 @@ def test_near_passages_beside_a_frequent_one(spark):
     assert len(found & want) >= 0.8 * len(want)
 
 
+def test_passage_held_by_copies_in_any_order(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    passage = words(70)
+    copied = " ".join(words(30) + passage + words(30))
+    rows = [(9, copied), (5, copied), (2, copied), (7, " ".join(words(40) + passage + words(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["first_word"], r["last_word"], r["other"]) for r in repeated_passages(docs).collect()}
+    assert got == {2: (0, 129, 5), 5: (0, 129, 2), 9: (0, 129, 2), 7: (40, 109, 2)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert jaccard_components(docs).count() == 0
