@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from sylvan.llm.common import ascii_words, components
+from sylvan.llm.common import ascii_words, components, shingles
 from sylvan.llm.line_dedup import dedup_lines, duplicate_lines
 from sylvan.llm.ngram_join import jaccard_components
-from sylvan.llm.substring_dedup import repeated_passages
+from sylvan.llm.substring_dedup import compare, passage, repeated_passages, window_runs
 
 
 def _texts(seed=1):
@@ -143,6 +144,25 @@ def test_passage_held_by_copies_in_any_order(spark):
     assert got == {2: (0, 129, 5), 5: (0, 129, 2), 9: (0, 129, 2), 7: (40, 109, 2)}
 
 
+@pytest.mark.parametrize(("period", "times"), [(12, 5), (1, 60), (18, 4), (7, 30)])
+def test_passage_of_a_repeated_phrase(period, times):
+    rng = random.Random(period)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    repeated = words(period) * times
+    n = len(repeated) - 4
+    for more in ([], words(60)):
+        texts = [" ".join(words(a) + repeated + words(40) + more + words(9)) for a in (33, 21)]
+        x, y = ((s >> np.uint64(32)).astype("<u4") for s in shingles(texts))
+        got = passage(x, y, 80, 46)
+        assert got and got[1] - got[0] >= 45 and _jaccard(set(x[got[0] : got[1] + 1]), set(y[got[2] : got[3] + 1])) >= 0.8
+        of, sig, first, last = window_runs(shingles(texts), 46)
+        side = lambda k: [(g, f, m) for o, g, f, m in zip(of.tolist(), sig.tolist(), first.tolist(), last.tolist(), strict=True) if o == k]
+        runs = [(g, a, b, c, d) for g, a, b in side(0) for h, c, d in side(1) if g == h]
+        found = compare(x, y, runs, 80, 46)
+        assert {i for _, a, b, _, _ in found for i in range(a, b + 1)} >= set(range(33, 33 + n))
+        assert {i for _, _, _, a, b in found for i in range(a, b + 1)} >= set(range(21, 21 + n))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert jaccard_components(docs).count() == 0
