@@ -33,11 +33,14 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.8, "secret": 1.0, "token":
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "token", "undefined", "null", "none", "true", "false", "redacted", "required", "optional"}
 
 _PAIR = re.compile(
-    r"""(?P<q>["'`]?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*"""
-    r"""(?:"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`|(?P<bare>[A-Za-z0-9+/_.=\-]+))""",
+    r"""(?P<q>["'`]?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)[ \t]*"""
+    r"""(?::=|=>|=(?!=)|:(?!:)(?:[ \t]*(?P<type>[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\]=\n]*\]|<[^>=\n]*>)?[?!]?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*)*)(?:[ \t]+=(?![=>])|=(?=[ \t]*["'`])))?)[ \t]*"""
+    r"""(?:"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`|(?P<bare>[A-Za-z0-9+/_.=\-]+)|(?P<ref>\$(?:\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z_][A-Za-z0-9_]*)(?![A-Za-z0-9+/_.=\-${])))""",
     re.A,
 )
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+#: References of shells and configuration.
+_REF = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))", re.A)
 
 
 def name_score(name: str) -> float:
@@ -74,12 +77,19 @@ def lexed_spans(text: str, low: str, threshold: float) -> list[tuple[int, int, s
     bound: dict[str, tuple[int, int, bool]] = {}  # name -> span of its literal; whether a bare word
     out = {}
     for m in _PAIR.finditer(text):
-        group = next(g for g in ("d", "s", "b", "bare") if m[g] is not None)
+        group = next(g for g in ("d", "s", "b", "bare", "ref") if m[g] is not None)
         value, start, end = m[group], m.start(group), m.end(group)
         score, kind = name_score(m["name"]), "literal"
-        if group == "bare" and _NAME.fullmatch(value) and value in bound:
-            start, end = bound[value][:2]
+        if m["type"] and group in ("bare", "ref") and score * literal_score(m["type"]) >= threshold:
+            out.setdefault(m.span("type"), kind)  # without quotes, it can be the value itself
+        to = value if group == "bare" and _NAME.fullmatch(value) else None
+        if group != "s" and (ref := _REF.fullmatch(value)):
+            to = ref[1] or ref[2]
+        if to in bound:
+            start, end = bound[to][:2]
             kind = "propagated"
+        elif group == "ref":
+            continue
         bound[m["name"]] = (start, end, group == "bare")
         if score and score * literal_score(text[start:end]) >= threshold:
             out.setdefault((start, end), kind)

@@ -14,7 +14,7 @@ from sylvan.llm import language_id, mixing, quality
 from sylvan.llm.embedding_dedup import near_duplicate_vectors, plan
 from sylvan.llm.image_copies import encode, image_copies, rendered
 from sylvan.llm.packing import pack_documents, patterns
-from sylvan.llm.secrets import brute_base, find_secrets, secret_digest
+from sylvan.llm.secrets import brute_base, find_secrets, lexed_spans, secret_digest
 
 HEX = "0123456789abcdef" * 2
 
@@ -39,6 +39,26 @@ def test_secrets(spark):
     assert find_secrets(spark.createDataFrame([], docs.schema)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ('password: str = "LIT"', "literal"), ("const apiKey: string = 'LIT';", "literal"), ('val token: String? = "LIT"', "literal"), ('secret: Optional[str]="LIT"', "literal"), ('pwd: str | None = "LIT"', "literal"),
+        ("password: LIT", "literal"), ("token: LIT = x", "literal"), ('key: str = "LIT"\nsecret: str = key', "propagated"),
+        ("X=LIT\nexport DB_PASSWORD=$X", "propagated"), ("X='LIT'\nDB_PASSWORD=\"${X}\"", "propagated"), ("x: LIT\npassword: ${x}", "propagated"),
+    ],
+)
+def test_secrets_of_typed_names_and_references(text, kind):
+    value = "Zx9kLmQ2vB7nP4tR"
+    text = text.replace("LIT", value)
+    at = text.index(value)
+    assert (at, at + len(value), kind) in lexed_spans(text, text.lower(), 0.5)
+
+
+def test_secrets_of_unknown_references():
+    for text in ("password=$X", "password=${X}", "password: str = other"):
+        assert lexed_spans(text, text, 0.5) == []
+
+
 def test_images(spark):
     rng = np.random.default_rng(1)
     rows = []
