@@ -51,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("source mixing", mixture), ("best-fit packing", packing)]
 
-#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the tokenizer; tests hold line dedup and the n-gram join against brute force, the pipeline against planted ids.
 ORACLE_SQL = None
 
 
