@@ -79,8 +79,9 @@ def run_kernel(nodes: DataFrame, query: Query | str, entry: str | None = None, f
             done()
         yield flush()
 
-    # a document's nodes come together and in order; only one document is held at a time
-    dealt = nodes.select(*COLUMNS).repartition("doc_id").sortWithinPartitions("doc_id", "node_id")
+    # a document's nodes come together and in order; only one document is held at a time. The key is an expression that no input
+    # is dealt by already: a union of inputs that are, each coalesced for itself, would be taken as dealt and split documents
+    dealt = nodes.select(*COLUMNS).repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "node_id")
     return dealt.mapInArrow(match, "doc_id long, status string, result string, fuel_used long")
 
 
