@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,9 +27,11 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one is made only where the session names none (local tests)."""
+    """The folder for intermediate tables; a temporary one is made only in a local session that names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sylvan-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,13 +41,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again; cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sylvan-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     release(spark)
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While this lasts, Arrow batches have ``rows`` rows at most: whole texts and sets make rows of many kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the table of a frame that ``stored`` returned and that no later plan reads."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
@@ -181,17 +197,64 @@ def lean_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Tab
     return run
 
 
-def components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFrame:
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, least vertex reached) of the vertices of some edges that are not the least of their own component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        lo, hi = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = lo != hi
+        if not apart.any():
+            break
+        np.minimum.at(root, hi[apart], lo[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    own = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[own], ids[root[own]]
+
+
+def _forest(edges: DataFrame, most: int) -> DataFrame:
+    """Edges (u, v), v < u, that connect what ``edges`` (u, v) do: of each run of ``most`` rows of a task, one for each vertex."""
+
+    def run(rows):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            u, v = _roots(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+        for b in rows:
+            held.append(tuple(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)))
+            if sum(len(x) for x, _ in held) >= most:
+                yield flush()
+        if held:
+            yield flush()
+
+    return edges.mapInArrow(lean(run), "u long, v long")
+
+
+def components(edges: DataFrame, label: str = "cc", rounds: int = 60, most: int = 400_000) -> DataFrame:
     """Connected components: (id, component) for every vertex of ``edges`` (a, b), component being the least id reached.
 
-    Alternates large-star and small-star steps, which shorten paths geometrically. Edges whose ends a hub shares are
-    combined by ``min`` before each shuffle; nothing is gathered by vertex. Null ends and loops are dropped.
+    Each task first reduces its edges to one for each vertex. While more than ``most`` are left, large-star and small-star steps
+    alternate, which shorten paths geometrically; nothing is gathered by vertex. The last ``most`` are one task's work. Null ends
+    and loops are dropped.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = stored(e, label)
-    seen = None
+    e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v and a is not null and b is not null")
+    e, seen, old = stored(_forest(e, most), label), None, []
     for _ in range(rounds):
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now[0] <= most:
+            old.append(e)
+            e = stored(_forest(e.repartition(1), most + 1), label)
+        if now[0] <= most or now == seen:
+            for x in old:
+                forget(x)
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        seen = now
+        old.append(e)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour of u is tied to the least vertex around u
@@ -201,10 +264,6 @@ def components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFra
         j = e.join(least, "u")
         e = j.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         e = stored(e, label)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        seen = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

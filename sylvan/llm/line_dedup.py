@@ -1,78 +1,94 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its distinct words. Words are ordered by rarity; a line indexes a prefix of its rarest words (words of
-the frequent class in pairs, as in ``ngram_join``), candidates pass length and positional filters and one on bitmaps of their
-words, and Jaccard is verified
-over the whole sets. A line goes if an earlier line, in the order (doc_id, line number), has a Jaccard of 0.8 or more with it,
-whether or not that earlier line stays itself.
+A line is the set of its distinct words. Words are ordered by rarity: those of one line only, which no match can share, then
+unlisted ones, then the listed frequent ones by rising frequency. Of that order a line indexes a prefix, which is extended so that
+its words can be taken in pairs inside hash groups (as the frequent shingles of ``ngram_join`` are): two lines seldom hold the
+same two words by chance, however large the corpus. Candidates pass length and positional filters, and Jaccard is verified over
+the whole sets. A line goes if an earlier line, in the order (doc_id, line number), has a Jaccard of 0.8 or more with it, whether or
+not that earlier line stays itself.
+
+Why no match is lost. Of a line of n words, at most n // 5 are missing in a smaller match and n // 9 in a larger one. A group with c
+words of the prefix counts c - 1, and removing fewer words than the counts' sum leaves two of one group. Prefixes end where the sum
+exceeds what can be missing beyond the words of one line only, so of two matching lines, the one whose prefix ends first in the
+order holds a pair that the other's prefix holds as well.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm.common import U64, Words, batches, bloom_has, bloom_of, forget, lean, lean_group, mix, release, stored, task_count
-from sylvan.llm.ngram_join import _HELD, _by_bucket, _pairs, pair_hash
+from sylvan.llm.ngram_join import _HELD
 
-#: Lines with a word counted from here are listed with their frequency; from ``PAIRS_FROM`` words are indexed in pairs.
-LISTED_FROM, LISTED_MOST, PAIRS_FROM = 8, 1_000_000, 128
-#: Sets that share a signature up to which all pairs of them are looked at in place.
-SMALL = 512
+#: Lines with a word counted from here may be listed with their frequency, and the most entries of that list.
+LISTED_FROM, LISTED_MOST = 8, 1_000_000
+#: Line sets that share a signature up to which all pairs of them are looked at in place.
+SMALL = 16
+#: Line sets of one task that share a signature from which they go past the bucket that others of the signature meet in.
+LOCAL = 64
 
 
 class Lines:
-    """The sets of the lines of some texts: words of line i are ``hash[start[i]:start[i + 1]]``, by rising ``rank``.
+    """The sets of the lines of some texts: words of line i are ``hash[start[i]:start[i + 1]]``.
 
-    ``listed`` has the hashes (ascending) of words with their frequencies; rarer words rank lower, unlisted ones lowest.
+    With ``listed`` (hashes, ascending, and frequencies of frequent words, and a Bloom filter of all words of two lines or more) only
+    words that other lines may have are there, in the global order; ``size`` counts all words in any case, and ``own`` those that
+    are left out. ``code`` is a word's place in the list, or its hash.
     """
 
     def __init__(self, ids: list, texts: list, listed: tuple[np.ndarray, ...] | None = None):
         w = Words(texts)
         feed, first = w.lines()
-        # dense places of the chunk's words in the global order, so that one sort of integers orders all lines
-        order = np.argsort(w.hash)
-        h = w.hash[order]
-        new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-        own = h[new]
-        df = np.zeros(len(own), U64)
-        if listed is not None and len(listed[0]):
-            at = np.minimum(np.searchsorted(listed[0], own), len(listed[0]) - 1)
-            df = np.where(listed[0][at] == own, listed[1][at], 0).astype(U64)
-        rank = (np.minimum(df, U64((1 << 32) - 1)) << U64(32)) | (own >> U64(32))
-        by_rank = np.lexsort((own, rank))
-        place = np.empty(len(own), np.int64)
-        place[by_rank] = np.arange(len(own))
-        word = np.empty(len(h), np.int64)
-        word[order] = place[np.cumsum(new) - 1] if len(h) else 0
+        word, words = pd.factorize(w.hash)
+        place = np.arange(len(words))
+        code = words
+        if listed is not None and len(words):
+            keys, times, repeated = listed
+            at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
+            often = keys[at] == words if len(keys) else np.zeros(len(words), bool)
+            code = np.where(often, at.astype(U64), words)
+            rank = np.zeros(len(words), np.int64)
+            rank[~often] = bloom_has(repeated, words[~often])
+            rank[often] = 1 + times[at[often]]
+            by_rank = np.lexsort((words, rank))
+            place[by_rank] = np.arange(len(words))
+            words, code, rank = words[by_rank], code[by_rank], rank[by_rank]
         begins = np.r_[True, feed[1:] != feed[:-1]] if len(feed) else np.zeros(0, bool)
-        width = max(1, len(own))
-        key = (np.cumsum(begins) - 1) * width + word
+        width = max(1, len(words))
+        key = (np.cumsum(begins) - 1) * width + place[word]
         key.sort()
         key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-        self.of, at = key // width, by_rank[key % width]
-        self.hash, self.rank = own[at], rank[at]
+        self.of, self.word = key // width, key % width
         lines = feed[begins]
         doc = np.searchsorted(first, lines, "right") - 1
-        self.line, self.doc = lines - first[doc], [ids[i] for i in doc.tolist()]
+        self.line, self.doc = lines - first[doc], np.array(ids, np.int64)[doc]
+        self.words = words
+        self.size = np.bincount(self.of, minlength=len(lines))
+        self.hash = words[self.word]
+        self._ids = self._set_ids()
+        self.own = np.zeros(len(lines), np.int64)
+        if listed is not None and len(words):
+            shared = rank[self.word] > 0
+            self.own = np.bincount(self.of[~shared], minlength=len(lines))
+            self.of, self.word, self.hash = self.of[shared], self.word[shared], self.hash[shared]
+        self.code = code[self.word]
         self.start = np.searchsorted(self.of, np.arange(len(lines) + 1))
-        self.size = np.diff(self.start)
 
-    def ids(self) -> np.ndarray:
-        """A 64-bit id for each line, equal for equal sets: two sums over mixed hashes, whatever their order."""
+    def _set_ids(self) -> np.ndarray:
         if not len(self.size):
             return np.zeros(0, np.int64)
-        x = np.add.reduceat(mix(self.hash), self.start[:-1])
-        y = np.bitwise_xor.reduceat(mix(self.hash + U64(77)), self.start[:-1])
+        start = np.r_[0, np.cumsum(self.size)[:-1]]
+        x = np.add.reduceat(mix(self.words)[self.word], start)
+        y = np.bitwise_xor.reduceat(mix(self.words + U64(77))[self.word], start)
         return mix(x + mix(y) * U64(0x9E3779B97F4A7C15) + self.size.astype(U64)).astype(np.int64)
 
-    def bitmaps(self) -> np.ndarray:
-        """64 bits for each line, of which each word sets one."""
-        if not len(self.size):
-            return np.zeros(0, U64)
-        return np.bitwise_or.reduceat(U64(1) << (mix(self.hash) >> U64(58)), self.start[:-1])
+    def ids(self) -> np.ndarray:
+        """A 64-bit id for each line, equal for equal sets: two sums over mixed hashes, whatever their order."""
+        return self._ids
 
 
 def describe_lines(docs: DataFrame) -> DataFrame:
@@ -83,10 +99,12 @@ def describe_lines(docs: DataFrame) -> DataFrame:
         held: list = []
 
         def flush():
-            key, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            at, key = pd.factorize(np.concatenate([h for h, _ in held]))
             n = np.bincount(at, weights=np.concatenate([c for _, c in held]), minlength=len(key)).astype("<u4")
             held.clear()
-            order, cut = _by_bucket((key % U64(n_buckets)).astype(np.int64), n_buckets)
+            bucket = (key % U64(n_buckets)).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")  # a radix sort
+            cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             key, n = key[order], n[order]
             full = [b for b in range(n_buckets) if cut[b] < cut[b + 1]]
             none = pa.nulls(len(full), pa.int64())
@@ -98,8 +116,7 @@ def describe_lines(docs: DataFrame) -> DataFrame:
                 x = Lines(ids[lo : lo + 250], texts[lo : lo + 250])
                 if not len(x.size):
                     continue
-                h, c = np.unique(x.hash, return_counts=True)
-                held.append((h, c))
+                held.append((x.words, np.bincount(x.word, minlength=len(x.words))))
                 none = pa.nulls(len(x.size), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(x.size), pa.int32()), pa.array(x.doc, pa.int64()), pa.array(x.line, pa.int32()), pa.array(x.size, pa.int64()), pa.array(x.ids(), pa.int64()), none, none], names)
                 if sum(len(h) for h, _ in held) > _HELD:
@@ -110,273 +127,303 @@ def describe_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "bucket int, doc_id long, line int, n long, id long, words binary, times binary")
 
 
-def listed_words(described: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Hashes (ascending) and line counts of the words in ``LISTED_FROM`` lines or more, the most frequent ``LISTED_MOST``, and
-    a Bloom filter of all words in two lines or more: others need no signature. Where the bounded filter is full it lacks none.
+def listed_words(described: DataFrame, most: int = LISTED_MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (ascending) and line counts of the words of ``LISTED_FROM`` lines or more, the most frequent ``most``, and
+    a Bloom filter of all words in two lines or more. Where the bounded filter is full it lacks none.
     """
 
     def total(t: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(t.column("words").to_pylist()), U64)
-        key, at = np.unique(key, return_inverse=True)
+        at, key = pd.factorize(np.frombuffer(b"".join(t.column("words").to_pylist()), U64))
         n = np.bincount(at, weights=np.frombuffer(b"".join(t.column("times").to_pylist()), "<u4")).astype(np.int64)
         return pa.table({"key": key[n >= 2].astype(np.int64), "df": n[n >= 2]})
 
     found = stored(described.where("bucket is not null").select("bucket", "words", "times").groupBy("bucket").applyInArrow(lean_group(total), "key long, df long"), "line-words")
     repeated = bloom_of(found.select("key"))
-    found = found.where(F.col("df") >= LISTED_FROM)
-    levels = {r["level"]: r["n"] for r in found.groupBy(F.floor(F.log2("df")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()}
+    often = found.where(F.col("df") >= LISTED_FROM)
+    levels = {r["level"]: r["n"] for r in often.groupBy(F.floor(F.log2("df")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()}
     level = min(levels, default=0)
-    while sum(n for x, n in levels.items() if x >= level) > LISTED_MOST:
+    while sum(n for x, n in levels.items() if x >= level) > most:
         level += 1
-    t = found.where(F.floor(F.log2("df")) >= level).toArrow()
+    t = often.where(F.floor(F.log2("df")) >= level).toArrow()
+    forget(found)
     key, df = t.column("key").to_numpy().astype(U64), t.column("df").to_numpy()
     order = np.argsort(key)
-    # prefixes are counted on only if all words that are not listed are in few lines
-    return key[order], df[order], repeated, 2**level <= PAIRS_FROM
+    return key[order], df[order], repeated
 
 
 #: Sizes and positions are kept up to ``_BIG``; a set of that size or more passes all filters on them.
 _BIG = 65535
-_ENTRY = np.dtype([("sig", "<u4"), ("id", "<i8"), ("bits", "<u8"), ("n", "<u2"), ("pos", "<u2"), ("role", "u1")])
+#: Roles: bit 1 probes as the larger set, 2 is indexed as the smaller one, 4 marks a signature that has gone another way.
+_ENTRY = np.dtype([("sig", "<u4"), ("id", "<i8"), ("n", "<u2"), ("pos", "<u2"), ("role", "u1")])
 
 
-def shared_words(n: np.ndarray, pure: np.ndarray) -> np.ndarray:
-    """Prefix words that a line must share with a match: its prefix is longer than needed by one less than that.
+def line_signatures(x: Lines, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and entries of the lines marked in ``use``: line set, its size, place of the pair's later word, and the role.
 
-    A prefix of rare words alone (``pure``) is lengthened by a twentieth of the line; of two lines, the one whose prefix ends
-    first in the global order has that many of its words in the other's prefix, so the lesser of both numbers is shared.
+    Sets of fewer than 4 words match equal ones only and need no entry. Signatures of the larger set carry the band of its size,
+    those of the smaller one its own band and the next.
     """
-    return 1 + np.where(pure, n // 20, 0)
-
+    band = np.floor(np.log(np.maximum(1, x.size)) / np.log(1.25)).astype(np.int64)
+    probe, index = x.size // 5 - x.own + 1, x.size // 9 - x.own + 1
+    place = np.arange(len(x.of)) - x.start[x.of]
+    out = [(np.zeros(0, U64), np.zeros(0, _ENTRY))]
+    for step in (0, 1):
+        need = np.where(use & (x.size >= 4), index if step else probe, 0)
+        n_groups = np.maximum(1, (1.25 ** (band + step) / 4).astype(np.int64))
+        take = np.flatnonzero((need > 0)[x.of] & (place < (need + n_groups)[x.of]))  # so many words are always enough
+        if not len(take):
+            continue
+        of, h, pos = x.of[take], x.hash[take], place[take]
+        group = (mix(h + (band + step)[of].astype(U64)) % n_groups[of].astype(U64)).astype(np.int64)
+        width, deep = int(n_groups.max()), int(pos.max()) + 1
+        key = (of * width + group) * deep + pos
+        order = np.argsort(key, kind="stable")
+        team = key[order] // deep
+        again = np.zeros(len(order), np.int64)
+        again[order[1:]] = team[1:] == team[:-1]
+        count = np.cumsum(again)
+        begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        before = count - again - np.repeat(count[begin] - again[begin], np.diff(np.r_[begin, len(of)]))
+        order = order[(before < need[of])[order]]
+        team, of, h, at, early = key[order] // deep, of[order], h[order], pos[order], (before < index[of])[order]
+        for lag in range(1, len(order)):
+            i = np.flatnonzero(team[lag:] == team[:-lag])
+            if not len(i):
+                break
+            j = i + lag
+            line = of[j]
+            sig = mix(np.minimum(h[i], h[j]) * U64(0x9E3779B97F4A7C15) + np.maximum(h[i], h[j]) + U64(2) * (band[line] + step).astype(U64) + U64(1))
+            e = np.zeros(len(i), _ENTRY)
+            e["sig"], e["id"], e["n"] = sig >> U64(32), x.ids()[line], np.minimum(x.size[line], _BIG)
+            e["pos"], e["role"] = np.minimum(x.own[line] + at[j], _BIG), 2 if step else np.where(early[j], 3, 1)
+            out.append((sig, e))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-def _groups(band: int) -> int:
-    """Hash groups within which frequent words are paired, for sets of this band of sizes."""
-    return max(1, int(1.25**band) // 60)
 
-
-def _entries(x: Lines, line: np.ndarray, sig: np.ndarray, pos: np.ndarray, role: np.ndarray | int, ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e = np.zeros(len(sig), _ENTRY)
-    e["sig"], e["id"], e["bits"], e["n"], e["pos"], e["role"] = sig >> U64(32), ids[line], bits[line], np.minimum(x.size[line], _BIG), np.minimum(pos, _BIG), role
-    return sig, e
+def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs of entries of one signature pass the filters on roles, lengths and positions."""
+    n, m, i, j = (v.astype(np.int64) for v in (p["n"], q["n"], p["pos"], q["pos"]))
+    roles = (n <= m) & (p["role"] & 2 > 0) & (q["role"] & 1 > 0) | (m <= n) & (q["role"] & 2 > 0) & (p["role"] & 1 > 0)
+    most = np.minimum(i, j) + np.minimum(n - i, m - j)
+    big = (n == _BIG) | (m == _BIG)
+    return (big | roles & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * most >= 4 * (n + m))) & (p["id"] != q["id"])
 
 
-def line_signatures(x: Lines, ids: np.ndarray, repeated: np.ndarray, counting: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures and entries of the index: upper half of the signature, line set, its bitmap and size, the position in the global order, and the role.
+def shared_entries(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray, np.ndarray], small: int = SMALL, local: int = LOCAL) -> DataFrame:
+    """Candidates of the index: pairs (a, b) of line sets for signatures that few hold, and for those that many hold the entries
+    (sig, a = id, n, pos, role), with b null.
 
-    Role bit 1 probes as the larger set, 2 is indexed as the smaller one; bit 4 marks sets with a pure prefix. Sets of fewer than 4 words link with equal ones
-    only and need no entry.
+    Entries travel in binary blocks by hash bucket. Of a signature that ``local`` line sets of one task hold or more, only a mark
+    goes to its bucket; the entries go to buckets of the task's own, so that no bucket grows with a hot signature.
     """
-    bits = x.bitmaps()
-    n = x.size[x.of]
-    pos = np.arange(len(x.of)) - x.start[x.of]
-    common = x.rank >= U64(PAIRS_FROM) << U64(32)
-    rare = np.bincount(x.of[~common], minlength=len(x.size))
-    pure = (rare >= x.size // 5 + shared_words(x.size, True)) & (x.size < _BIG) & counting
-    more = shared_words(x.size, pure)[x.of]
-    single = ~common & (pos < n // 5 + more) & (n >= 4)
-    single[single] = bloom_has(repeated, x.hash[single])
-    role = np.where(pos[single] < n[single] // 9 + more[single], 3, 1) + 4 * pure[x.of[single]]
-    parts = [_entries(x, x.of[single], x.hash[single], pos[single], role, ids, bits)]
-    short = np.flatnonzero((rare < x.size // 5 + 1) & (x.size >= 4))
-    bands = np.floor(np.log(np.maximum(1, x.size[short])) / np.log(1.25)).astype(np.int64)
-    for step, role in ((0, 1), (0, 2), (1, 2)):
-        need = x.size[short] // (5 if role == 1 else 9) + 1 - rare[short]
-        for band, many in np.unique(np.stack([bands + step, need])[:, need > 0], axis=1).T.tolist():
-            lines = short[(bands + step == band) & (need == many)]
-            if _groups(band) == 1:  # pairs among the first words that are needed, for all these lines at once
-                i, j = np.triu_indices(many + 1, 1)
-                h = x.hash[(x.start[lines] + rare[lines])[:, None] + np.arange(many + 1)]
-                parts.append(_entries(x, np.repeat(lines, len(i)), pair_hash(h[:, i], h[:, j], band).ravel(), (rare[lines][:, None] + j).ravel(), role, ids, bits))
-                continue
-            for k in lines.tolist():
-                r = int(rare[k])
-                sig, last = _pairs(x.hash[x.start[k] + r : x.start[k + 1]], band, many, _groups(band))
-                parts.append(_entries(x, np.full(len(sig), k), sig, last + r, role, ids, bits))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-
-
-def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Which pairs of entries of one signature pass the filters: roles, lengths, positions, and bits that only one set has."""
-    a, b = np.minimum(p["n"], q["n"]).astype(np.int64), np.maximum(p["n"], q["n"]).astype(np.int64)
-    small = (p["n"] == _BIG) | (q["n"] == _BIG) | (p["n"] <= q["n"]) & (p["role"] & 2 > 0) & (q["role"] & 1 > 0) | (q["n"] <= p["n"]) & (q["role"] & 2 > 0) & (p["role"] & 1 > 0)
-    after = np.minimum(p["n"].astype(np.int64) - p["pos"], q["n"].astype(np.int64) - q["pos"]) - 1
-    most = np.minimum(p["pos"], q["pos"]).astype(np.int64) + 1 + after
-    most = np.minimum(most, p["n"].astype(np.int64) - np.bitwise_count(p["bits"] & ~q["bits"]))
-    most = np.minimum(most, q["n"].astype(np.int64) - np.bitwise_count(q["bits"] & ~p["bits"]))
-    big = (p["n"] == _BIG) | (q["n"] == _BIG)
-    return small & (big | (5 * a >= 4 * b) & (9 * most >= 4 * (a + b))) & (p["id"] != q["id"])
-
-
-def shared_entries(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray, np.ndarray, bool]) -> DataFrame:
-    """Candidates of the index: rows (a, b) for signatures that few line sets hold, with n and pos as numbers of signatures that
-    have to be and are shared there, and for those that many hold the entries
-    (sig, a = id, bits, n, pos, role), one for each set, with b null."""
     n_buckets = min(1 << 15, 4 * task_count(docs))
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def run(rows):
-        held, n, known = [], 0, set()
+        held, n, known, turn = [], 0, set(), 0
 
         def flush():
             bucket, e = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order, cut = _by_bucket(bucket, n_buckets)
-            e = e[order]
-            full = [b for b in range(n_buckets) if cut[b] < cut[b + 1]]
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "rows": pa.array([e[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())})
+            key = (bucket << U64(32)) | e["sig"].astype(U64)
+            order = np.argsort(key)
+            key, e = key[order], e[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            hot = np.repeat(size >= local, size)
+            blocks, past, of_past = [], e[hot], (key[hot] >> U64(32)).astype("<u4")
+            if len(past):
+                for i in range(0, len(past), 50_000):
+                    blocks.append((-1 - int(mix(key[hot][i : i + 1] + past["id"][i : i + 1].astype(U64) + U64(turn))[0] >> U64(33)), past[i : i + 50_000].tobytes(), of_past[i : i + 50_000].tobytes()))
+                marks = np.zeros(int((size >= local).sum()), _ENTRY)
+                marks["sig"], marks["role"] = key[start[size >= local]] & U64(0xFFFFFFFF), 4
+                bucket = np.concatenate([key[~hot] >> U64(32), key[start[size >= local]] >> U64(32)])
+                order = np.argsort(bucket, kind="stable")
+                bucket, e = bucket[order], np.concatenate([e[~hot], marks])[order]
+            else:
+                bucket = key >> U64(32)
+            cut = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=U64))
+            blocks += [(b, e[cut[b] : cut[b + 1]].tobytes(), b"") for b in range(n_buckets) if cut[b] < cut[b + 1]]
+            b, r, o = zip(*blocks, strict=True)
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "rows": pa.array(r, pa.binary()), "of": pa.array(o, pa.binary())})
 
         for ids, texts in batches(rows, "doc_id", "text"):
             for lo in range(0, len(ids), 250):
                 x = Lines(ids[lo : lo + 250], texts[lo : lo + 250], shared.value)
                 if not len(x.size):
                     continue
-                of = x.ids()
-                fresh = [d for d in of.tolist() if d not in known]
                 if len(known) > 1_000_000:
                     known.clear()
-                known.update(fresh)
-                sig, e = line_signatures(x, of, *shared.value[2:])
-                if len(fresh) < len(of):
-                    own = np.isin(e["id"], np.array(fresh, np.int64))
-                    sig, e = sig[own], e[own]
+                fresh = np.array([v not in known and not known.add(v) for v in x.ids().tolist()], bool)
+                sig, e = line_signatures(x, fresh)
                 held.append(((sig & U64(0xFFFFFFFF)) % U64(n_buckets), e))
                 n += len(e)
                 if n >= _HELD // 2:
                     yield flush()
-                    n = 0
+                    n, turn = 0, turn + 1
         if n:
             yield flush()
 
     def shared_only(t: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(t.column("rows").to_pylist()), _ENTRY)
-        # most signatures have one holder: those go before the rows are put in order
-        order = np.argsort(e["sig"])
-        sig = e["sig"][order]
-        alone = np.r_[True, sig[1:] != sig[:-1]] & np.r_[sig[1:] != sig[:-1], True] if len(e) else np.zeros(0, bool)
-        e = e[order[~alone]]
-        e = e[np.lexsort((e["id"], e["sig"]))]
-        first = np.flatnonzero(np.r_[True, (e["sig"][1:] != e["sig"][:-1]) | (e["id"][1:] != e["id"][:-1])]) if len(e) else np.zeros(0, np.int64)
-        role = np.bitwise_or.reduceat(e["role"], first) if len(e) else e["role"]
-        e = e[first].copy()
-        e["role"] = role
-        start = np.flatnonzero(np.r_[True, e["sig"][1:] != e["sig"][:-1]]) if len(e) else first
-        held = np.diff(np.r_[start, len(e)])
-        pairs = [np.zeros((0, 3), np.int64)]
-        for g in np.unique(held[(held > 1) & (held <= SMALL)]).tolist():
-            i, j = np.triu_indices(g, 1)
-            at = start[held == g]
-            step = max(1, 500_000 // len(i))
-            for lo in range(0, len(at), step):
-                p, q = e[(at[lo : lo + step, None] + i).ravel()], e[(at[lo : lo + step, None] + j).ravel()]
-                ok = near(p, q)
-                p, q = p[ok], q[ok]
-                share = np.minimum(*(shared_words(r["n"].astype(np.int64), r["role"] & 4 > 0) for r in (p, q)))
-                pairs.append(np.stack([np.minimum(p["id"], q["id"]), np.maximum(p["id"], q["id"]), share], axis=1))
-        two, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-        e = e[np.repeat(held > SMALL, held)] if len(e) else e
-        # a bucket's number and half a signature stand for the signature
-        whole = (int(t.column("bucket")[0].as_py()) << 32) + e["sig"].astype(np.int64) if len(e) else e["sig"].astype(np.int64)
-        columns = {"sig": pa.array(np.r_[np.zeros(len(two), np.int64), whole])}
-        columns["a"] = pa.array(np.r_[two[:, 0], e["id"]])
+        number = t.column("bucket")[0].as_py()
+        pairs = [np.zeros((0, 2), np.int64)]
+        if number < 0:
+            whole = (np.frombuffer(b"".join(t.column("of").to_pylist()), "<u4").astype(np.int64) << 32) + e["sig"].astype(np.int64)
+        else:
+            # most signatures have one holder: those go before the rows are put in order
+            order = np.argsort(e["sig"])
+            sig = e["sig"][order]
+            new = np.r_[True, sig[1:] != sig[:-1]]
+            e = e[order[~(new & np.r_[new[1:], True])]]
+            e = e[np.lexsort((e["id"], e["sig"]))]
+            role = e["role"]
+            if len(e):
+                first = np.flatnonzero(np.r_[True, (e["sig"][1:] != e["sig"][:-1]) | (e["id"][1:] != e["id"][:-1])])
+                role = np.bitwise_or.reduceat(role, first)
+                e = e[first].copy()
+                e["role"] = role
+            start = np.flatnonzero(np.r_[True, e["sig"][1:] != e["sig"][:-1]]) if len(e) else np.zeros(0, np.int64)
+            held = np.diff(np.r_[start, len(e)])
+            past = np.bitwise_or.reduceat(e["role"], start) & 4 > 0 if len(e) else held > 0
+            for g in np.unique(held[(held > 1) & (held <= small) & ~past]).tolist():
+                i, j = np.triu_indices(g, 1)
+                at = start[(held == g) & ~past]
+                step = max(1, 500_000 // len(i))
+                for lo in range(0, len(at), step):
+                    p, q = e[(at[lo : lo + step, None] + i).ravel()], e[(at[lo : lo + step, None] + j).ravel()]
+                    ok = near(p, q)
+                    pairs.append(np.stack([np.minimum(p["id"][ok], q["id"][ok]), np.maximum(p["id"][ok], q["id"][ok])], axis=1))
+            e = e[np.repeat(past | (held > small), held) & (e["role"] & 4 == 0)] if len(e) else e
+            # a bucket's number and half a signature stand for the signature
+            whole = (number << 32) + e["sig"].astype(np.int64)
+        two = np.concatenate(pairs)
+        two = two[np.lexsort((two[:, 1], two[:, 0]))]
+        two = two[np.r_[True, (two[1:] != two[:-1]).any(axis=1)]] if len(two) else two
+        columns = {"sig": pa.array(np.r_[np.zeros(len(two), np.int64), whole]), "a": pa.array(np.r_[two[:, 0], e["id"]])}
         columns["b"] = pa.array(np.r_[two[:, 1], np.zeros(len(e), np.int64)], mask=np.r_[np.zeros(len(two), bool), np.ones(len(e), bool)])
-        # for a pair, n has the words that must be shared and pos those that are, here
-        for c, kind, of_pair in (("bits", np.int64, np.zeros(len(two))), ("n", np.int64, two[:, 2]), ("pos", np.int64, times), ("role", np.int32, np.zeros(len(two)))):
-            columns[c] = pa.array(np.r_[of_pair.astype(kind), e[c].astype(kind)])
+        for c in ("n", "pos", "role"):
+            columns[c] = pa.array(np.r_[np.zeros(len(two), np.int32), e[c].astype(np.int32)])
         return pa.table(columns)
 
-    found = docs.mapInArrow(lean(run), "bucket int, rows binary").groupBy("bucket")
-    return found.applyInArrow(lean_group(shared_only), "sig long, a long, b long, bits long, n long, pos long, role int")
+    found = docs.mapInArrow(lean(run), "bucket int, rows binary, of binary").groupBy("bucket")
+    return found.applyInArrow(lean_group(shared_only), "sig long, a long, b long, n int, pos int, role int")
+
 
+def _similar(docs: DataFrame, pairs: DataFrame, first: DataFrame, listed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """Of the pairs (early, late) of line sets, those with Jaccard 0.8 or more.
 
-def _similar(docs: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """Of the pairs (early, late) of line sets, those with Jaccard 0.8 or more."""
+    Sets travel once from the line that is the first to have them: listed words by their places in the list, others by their whole
+    hashes; of words that no other line has, only the number counts.
+    """
     sc = docs.sparkSession.sparkContext
     needed = pairs.select(F.col("early").alias("id")).union(pairs.select("late")).distinct()
-    places = stored(needed.join(first, "id").select("id", "doc_id"), "line-needed")
-    in_docs, in_lines = sc.broadcast(bloom_of(places.select("doc_id").distinct())), sc.broadcast(bloom_of(places.select("id")))
+    places = stored(needed.join(first, "id").select("doc_id", F.xxhash64("id", "doc_id").alias("at")), "line-needed")
+    in_docs, in_lines, shared = sc.broadcast(bloom_of(places.select("doc_id").distinct())), sc.broadcast(bloom_of(places.select("at"))), sc.broadcast(listed)
+    forget(places)
 
     def sets(rows):
-        known: set = set()
         for b in rows:
             b = b.filter(b.column(0).is_valid())
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = np.flatnonzero(bloom_has(in_docs.value, ids)) if len(ids) else []
             for lo in range(0, len(hit), 250):
                 part = hit[lo : lo + 250]
-                x = Lines(ids[part].tolist(), b.column(1).take(pa.array(part)).to_pylist())
+                x = Lines(ids[part].tolist(), b.column(1).take(pa.array(part)).to_pylist(), shared.value)
                 of = x.ids()
                 if not len(of):
                     continue
-                keep = [i for i in np.flatnonzero(bloom_has(in_lines.value, of)).tolist() if of[i] not in known and not known.add(of[i])]
-                if len(known) > 1_000_000:
-                    known.clear()
-                # the upper 40 bits of each word's hash are enough to tell the words of two lines apart
-                five = x.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
-                blobs = [five[x.start[i] : x.start[i + 1]].tobytes() for i in keep]
-                yield pa.RecordBatch.from_pydict({"id": pa.array(of[keep], pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+                keep = np.unique(np.stack([x.doc, of], axis=1), axis=0, return_index=True)[1]
+                code, often = x.code, x.code < U64(LISTED_MOST)
+                some = [code[x.start[i] : x.start[i + 1]][often[x.start[i] : x.start[i + 1]]] for i in keep]
+                rest = [code[x.start[i] : x.start[i + 1]][~often[x.start[i] : x.start[i + 1]]] for i in keep]
+                yield pa.RecordBatch.from_pydict({"id": pa.array(of[keep], pa.int64()), "doc_id": pa.array(x.doc[keep], pa.int64()), "size": pa.array(x.size[keep].astype(np.int32)), "often": pa.array([_three(v) for v in some], pa.binary()), "rest": pa.array([v.tobytes() for v in rest], pa.binary())})
 
     def verify(rows):
-        for early, late, p, q in batches(rows, "early", "late", "p", "q"):
-            ok = []
-            for a, b in zip(p, q, strict=True):
-                a, b = ({x[i : i + 5] for i in range(0, len(x), 5)} for x in (a, b))
-                both = len(a & b)
-                ok.append(5 * both >= 4 * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_pydict({"early": pa.array([v for v, o in zip(early, ok, strict=True) if o], pa.int64()), "late": pa.array([v for v, o in zip(late, ok, strict=True) if o], pa.int64())})
-
-    have = docs.mapInArrow(lean(sets), "id long, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
-    have = stored(have, "line-sets")
-    both = pairs.join(have.select(F.col("id").alias("late"), F.col("hashes").alias("q")), "late").join(have.select(F.col("id").alias("early"), F.col("hashes").alias("p")), "early")
-    return both.select("early", "late", "p", "q").mapInArrow(lean(verify), "early long, late long")
-
-
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+        for b in rows:
+            for lo in range(0, b.num_rows, 2000):
+                t = b.slice(lo, 2000)
+                c = {n: t.column(i) for i, n in enumerate(t.schema.names)}
+                owner, code = [], []
+                for side in ("p", "q"):
+                    for name, width in (("often", 3), ("rest", 8)):
+                        blobs = c[f"{side}_{name}"].to_pylist()
+                        owner.append(np.repeat(np.arange(len(blobs)), [len(v) // width for v in blobs]))
+                        code.append(_whole(b"".join(blobs)) if width == 3 else np.frombuffer(b"".join(blobs), U64))
+                word = pd.factorize(np.concatenate(code))[0]
+                key = np.concatenate(owner) * (int(word.max(initial=0)) + 1) + word
+                key.sort()
+                # a word is once in each set, so what comes twice is common to both
+                twice = key[1:][key[1:] == key[:-1]] // (int(word.max(initial=0)) + 1)
+                both = np.bincount(twice, minlength=t.num_rows)
+                n, m = (c[f"{s}_size"].to_numpy(zero_copy_only=False).astype(np.int64) for s in "pq")
+                ok = pa.array(5 * both >= 4 * (n + m - both))
+                yield pa.RecordBatch.from_arrays([c["early"].filter(ok), c["late"].filter(ok)], ["early", "late"])
+
+    have = docs.mapInArrow(lean(sets), "id long, doc_id long, size int, often binary, rest binary")
+    side = lambda s, c: have.select(F.col("id").alias(c), *(F.col(n).alias(f"{s}_{n}") for n in ("size", "often", "rest")))
+    both = pairs.join(side("q", "late"), "late").join(side("p", "early"), "early")
+    return both.mapInArrow(lean(verify), "early long, late long")
+
+
+def _three(code: np.ndarray) -> bytes:
+    return code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+
+
+def _whole(three: bytes) -> np.ndarray:
+    out = np.zeros((len(three) // 3, 8), np.uint8)
+    out[:, :3] = np.frombuffer(three, np.uint8).reshape(-1, 3)
+    return out.view("<u8").ravel()
+
+
+def duplicate_lines(docs: DataFrame, small: int = SMALL, local: int = LOCAL, listed_most: int = LISTED_MOST) -> DataFrame:
     """(doc_id, line) of the lines that go; lines are counted from 0 and split at line feeds.
 
     A line without words is never removed. A null or empty text has no line that could go. Rows that repeat a doc_id are one
     document, whose lines of one number are not earlier than each other. Lines of rows with a null doc_id neither go nor
-    make others go. Other columns are ignored.
+    make others go. Other columns are ignored. The last three arguments move cost and not results.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     described = stored(describe_lines(docs), "lines")
-    listed = listed_words(described)
+    listed = listed_words(described, min(listed_most, LISTED_MOST))
     lines = stored(described.where("bucket is null").select("doc_id", "line", "id"), "line-ids")
     forget(described)
     first = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at")), "line-classes")
     by_id = first.select("id", "at.doc_id", "at.line")
 
-    index = stored(shared_entries(docs, listed), "line-index")
+    index = stored(shared_entries(docs, listed, small, local), "line-index")
     at = lambda c, as_: by_id.select(F.col("id").alias(c), F.struct("doc_id", "line").alias(as_))
     # which of a pair is the earlier one is known by the first places of their sets
-    few = index.where("b is not null").groupBy("a", "b").agg(F.sum("pos").alias("have"), F.max("n").alias("share")).where("have >= share").select("a", "b").join(at("a", "at"), "a").join(at("b", "bt"), "b")
-    few = few.select(F.when(F.col("at") < F.col("bt"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("at") < F.col("bt"), F.col("b")).otherwise(F.col("a")).alias("late"), F.least("at", "bt").alias("at"))
-    few = stored(few.distinct(), "line-pairs")
-    groups = index.where("b is null").select("sig", F.col("a").alias("id"), "bits", "n", "pos", "role").join(at("id", "at"), "id")
-    groups = stored(groups, "line-groups")
-    forget(index)
+    few = index.where("b is not null").select("a", "b").distinct().join(at("a", "at"), "a").join(at("b", "bt"), "b")
+    few = few.select(F.when(F.col("at") < F.col("bt"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("at") < F.col("bt"), F.col("b")).otherwise(F.col("a")).alias("late"))
+    groups = stored(index.where("b is null").select("sig", F.col("a").alias("id"), "n", "pos", "role").join(at("id", "at"), "id"), "line-groups")
     col = lambda a: lambda c: F.col(f"{a}.{c}")
 
     def close(p, q):
-        only = lambda r, s: F.bit_count(r("bits").bitwiseAND(F.bitwise_not(s("bits"))))
-        most = F.least(F.least(p("pos"), q("pos")) + F.least(p("n") - p("pos"), q("n") - q("pos")), p("n") - only(p, q), q("n") - only(q, p))
-        fits = (F.least(p("n"), q("n")) * 5 >= F.greatest(p("n"), q("n")) * 4) & (9 * most >= 4 * (p("n") + q("n")))
+        most = F.least(p("pos"), q("pos")) + F.least(p("n") - p("pos"), q("n") - q("pos"))
+        roles = (p("n") <= q("n")) & (p("role").bitwiseAND(2) > 0) & (q("role").bitwiseAND(1) > 0) | (p("n") >= q("n")) & (p("role").bitwiseAND(1) > 0) & (q("role").bitwiseAND(2) > 0)
+        fits = roles & (F.least(p("n"), q("n")) * 5 >= F.greatest(p("n"), q("n")) * 4) & (9 * most >= 4 * (p("n") + q("n")))
         return fits | (F.greatest(p("n"), q("n")) == _BIG)
 
-    # Signatures of many sets: each against the earliest. Of these and the pairs of few, the earliest partner of each comes
-    # first, which settles most members of groups of near copies ...
-    hub = groups.groupBy("sig").agg(F.min(F.struct("at", "id", "bits", "n", "pos")).alias("hub"))
+    # All pairs of signatures of few sets, and for those of many each set against the earliest, which settles most members of groups
+    # of near copies ...
+    hub = groups.groupBy("sig").agg(F.min(F.struct("at", "id", "n", "pos", "role")).alias("hub"))
     star = groups.alias("y").join(hub.select("sig", "hub.*").alias("x"), "sig").where(F.col("x.id") != F.col("y.id")).where(close(col("x"), col("y")))
-    star = star.select(F.col("x.id").alias("early"), F.col("y.id").alias("late"), F.col("x.at").alias("at")).union(few)
-    star = stored(star.groupBy("late").agg(F.min_by("early", "at").alias("early")).select("early", "late"), "line-star")
-    gone = stored(_similar(docs, star, by_id).select(F.col("late").alias("id")).distinct(), "line-gone")
-    # ... then those that still stand against all earlier ones.
+    star = star.groupBy(F.col("y.id").alias("late")).agg(F.min_by("x.id", F.col("x.at")).alias("early")).select("early", "late")
+    tried = stored(few.union(star).distinct(), "line-pairs")
+    forget(index)
+    gone = stored(_similar(docs, tried, by_id, listed).select(F.col("late").alias("id")).distinct(), "line-gone")
+    # ... then those that still stand against all earlier ones of a signature.
     still = groups.join(gone, "id", "left_anti")
     rest = still.alias("y").join(groups.alias("x"), F.expr("x.sig = y.sig and x.at < y.at")).where(close(col("x"), col("y")))
-    rest = rest.where(f"x.n = {_BIG} or y.n = {_BIG} or (x.n <= y.n and x.role & 2 > 0 and y.role & 1 > 0) or (x.n >= y.n and x.role & 1 > 0 and y.role & 2 > 0)")
-    rest = rest.select(F.col("x.id").alias("early"), F.col("y.id").alias("late")).union(few.select("early", "late").join(gone, F.col("late") == F.col("id"), "left_anti"))
-    rest = stored(rest.distinct().join(star, ["early", "late"], "left_anti"), "line-rest")
+    rest = rest.select(F.col("x.id").alias("early"), F.col("y.id").alias("late"))
+    rest = stored(rest.distinct().join(tried, ["early", "late"], "left_anti"), "line-rest")
+    forget(tried)
+    forget(groups)
     if not rest.isEmpty():
-        gone = stored(gone.union(_similar(docs, rest, by_id).select(F.col("late").alias("id"))).distinct(), "line-gone")
+        more = stored(_similar(docs, rest, by_id, listed).select(F.col("late").alias("id")).distinct(), "line-gone")
+        gone = gone.union(more).distinct()
+    forget(rest)
     classes = first.join(gone.withColumn("gone", F.lit(True)), "id", "left")
     out = lines.join(classes, "id").where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "line") > F.col("at"))).select("doc_id", "line")
     release(docs.sparkSession)

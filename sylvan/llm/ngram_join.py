@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -212,7 +213,7 @@ def candidate_groups(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.nda
     """
     n_buckets = min(1 << 15, 4 * task_count(docs))
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    kind = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("set", "<u4"), ("n", "<u4"), ("m", "<u4"), ("pos", "<u4"), ("role", "u1")])
+    kind = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("set", "<u8"), ("n", "<u4"), ("m", "<u4"), ("pos", "<u4"), ("role", "u1")])
 
     def make(rows):
         held, n, known = [], 0, set()
@@ -236,7 +237,7 @@ def candidate_groups(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.nda
                 m, found = signatures(s, *shared.value)
                 for sig, pos, role in found:
                     x = np.zeros(len(sig), kind)
-                    x["sig"], x["doc"], x["set"], x["n"], x["m"], x["pos"], x["role"] = sig, doc, int.from_bytes(d[:4], "little"), len(s), m, pos, role
+                    x["sig"], x["doc"], x["set"], x["n"], x["m"], x["pos"], x["role"] = sig, doc, int.from_bytes(d[:8], "little"), len(s), m, pos, role
                     held.append(x)
                     n += len(x)
                 if n >= _HELD // 3:
@@ -322,23 +323,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         most = F.least(p("pos"), q("pos")) + F.least(p("m") - p("pos"), q("m") - q("pos"))
         return (F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent) & (9 * most >= 4 * (p("n") + q("n")))
 
-    # Each signature's holders against one of them, and again while many holders of a signature are apart ...
-    links, tried, left, before = None, None, groups.withColumn("c", F.col("doc_id")), None
+    # Each signature's holders against one of them, first the one with the fewest shingles of its own, which is the likeliest to be
+    # close to all, then others, while many holders of a signature are apart ...
+    found, tried, left, before = [], [], groups.withColumn("c", F.col("doc_id")), None
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        return stored(pairs, "shingle-star")
+
     for turn in range(_TURNS):
-        hub = left.groupBy("sig").agg(F.min_by(F.struct("n", "m", "pos", "doc_id"), F.xxhash64("doc_id", F.lit(turn))).alias("hub"))
-        near = close(lambda c: F.col(f"hub.{c}"), F.col) & (F.col("hub.doc_id") != F.col("doc_id"))
+        rank = lambda n, m, doc: F.struct(n - m if turn == 0 else F.lit(0), F.xxhash64(doc, F.lit(turn)))  # noqa: B023, E731
+        hub = left.groupBy("sig").agg(F.min_by(F.struct("n", "m", "pos", "doc_id", "c"), rank(F.col("n"), F.col("m"), "doc_id")).alias("hub"))
+        near = close(lambda c: F.col(f"hub.{c}"), F.col) & (F.col("hub.c") != F.col("c"))
         # one partner for each document and turn, however many signatures it shares with others
-        one = left.join(hub, "sig").where(near).groupBy("doc_id").agg(F.min_by("hub.doc_id", F.xxhash64("hub.doc_id", F.lit(turn))).alias("hub"))
-        star = one.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-        star = stored(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "shingle-star")
-        found = _linked(docs, star, k, percent)
-        links = stored(found if links is None else links.union(found), "shingle-links")
-        tried = star if tried is None else tried.union(star)
-        reached = components(links)
-        left = left.drop("c").join(reached, left.doc_id == reached.id, "left").select("sig", "doc_id", "n", "m", "pos", "role", F.coalesce("component", "doc_id").alias("c"))
-        sizes = left.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1")
-        left = stored(left.join(sizes.select("sig"), "sig", "left_semi"), "shingle-apart")
-        rows, pairs = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0))).first()
+        one = left.join(hub, "sig").where(near).groupBy("doc_id").agg(F.min_by("hub.doc_id", rank(F.col("hub.n"), F.col("hub.m"), "hub.doc_id")).alias("hub"))
+        star = untried(one.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
+        tried.append(star)
+        found.append(stored(_linked(docs, star, k, percent), "shingle-links"))
+        reached = components(reduce(DataFrame.union, found))
+        now = left.drop("c").join(reached, left.doc_id == reached.id, "left").select("sig", "doc_id", "n", "m", "pos", "role", F.coalesce("component", "doc_id").alias("c"))
+        sizes = now.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1")
+        now = stored(now.join(sizes.select("sig"), "sig", "left_semi"), "shingle-apart")
+        rows, pairs = now.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own")).agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0))).first()
+        forget(left if turn else groups)
+        left = now
         if pairs <= 2 * rows + 1000 or before is not None and pairs > 0.8 * before:
             break
         before = pairs
@@ -346,14 +355,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # ... then the holders that are still apart among themselves.
     x, y = left.where("role in (2, 3)").alias("x"), left.where("role in (1, 3)").alias("y")
     rest = x.join(y, F.expr("x.sig = y.sig and x.c <> y.c and x.n <= y.n") & close(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "shingle-rest")
+    rest = untried(rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct())
     if not rest.isEmpty():
-        links = stored(links.union(_linked(docs, rest, k, percent)), "shingle-links")
+        found.append(stored(_linked(docs, rest, k, percent), "shingle-links"))
+    for t in (*tried, rest, left):
+        forget(t)
 
     least = info.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    info = info.join(least, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
-    copies = info.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    reached = components(links.union(copies))
+    info = info.join(least, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    # links are between members of classes: components are those of the classes' least ids
+    of = info.where("doc_id <> class_id").select(F.col("doc_id").alias("id"), "class_id").distinct()
+    links = reduce(DataFrame.union, found)
+    ends = links.join(of.withColumnRenamed("class_id", "p"), F.col("a") == F.col("id"), "left").drop("id").join(of.withColumnRenamed("class_id", "q"), F.col("b") == F.col("id"), "left")
+    reached = components(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
     release(spark)
-    return info.join(reached, info.doc_id == reached.id, "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return info.join(reached, info.class_id == reached.id, "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -71,11 +71,12 @@ def _brute_lines(rows):
     return {(i, n) for i, n, s in lines if any((j, m) < (i, n) and 5 * len(s & q) >= 4 * len(s | q) for j, m, q in lines)}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_lines(spark, seed):
+@pytest.mark.parametrize(("seed", "switches"), [(1, {}), (2, {}), (1, {"small": 2, "local": 1 << 30}), (2, {"small": 2, "local": 2}), (1, {"local": 3, "listed_most": 5}), (2, {"listed_most": 0})])
+def test_lines(spark, seed, switches):
+    """Whatever the sizes from which groups go another way, and however few words are listed."""
     rows = _texts(seed)
     docs = spark.createDataFrame([(i, t, "z", len(t or "")) for i, t in rows], "doc_id long, text string, line string, n_chars long").repartition(2)
-    got = {(r["doc_id"], r["line"]) for r in duplicate_lines(docs).collect()}
+    got = {(r["doc_id"], r["line"]) for r in duplicate_lines(docs, **switches).collect()}
     assert got == _brute_lines(rows)
     out = dedup_lines(docs, drop_emptied=False)
     assert out.columns == docs.columns and out.count() == len(rows)
