@@ -25,6 +25,7 @@ TREES: dict[str, Build] = {
     "session": lambda s, d: relational.sessions(_t(s, d, "events")),
     "order": lambda s, d: relational.orders(_t(s, d, "orders"), _t(s, d, "lineitem")),
     "lines": lambda s, d: relational.lines(_t(s, d, "documents")),
+    "account": lambda s, d: relational.accounts(_t(s, d, "customer"), _t(s, d, "orders").where("year(o_orderdate) = 1995")),
     "places": lambda s, d: relational.places(_t(s, d, "region"), _t(s, d, "nation")),
     "props": lambda s, d: text_trees.parse_trees(_t(s, d, "events"), "json", "event_id", "props"),
     "pages": lambda s, d: text_trees.parse_trees(_t(s, d, "pages"), "html", "page_id", "html"),
@@ -65,7 +66,6 @@ for _tier, _suffix in (("auto", ""), ("kernel", "_kernel")):
     pattern(f"first_child_exact{_suffix}", "dialogue", "Q = (conversation .! (user) @u)", f"WITH {_TURNS} SELECT doc_id, text AS u FROM t WHERE ix = 1 AND role = 'user'", _tier)
     pattern(f"last_child_soft{_suffix}", "dialogue", "Q = (conversation (assistant) @a .)", f"WITH {_TURNS}, f AS (SELECT * FROM t WHERE role <> 'system' {_FIRST.format('ix DESC')}) SELECT doc_id, text AS a FROM f WHERE role = 'assistant'", _tier)
     pattern(f"last_child_exact{_suffix}", "dialogue", "Q = (conversation (assistant) @a .!)", f"WITH {_TURNS}, f AS (SELECT * FROM t {_FIRST.format('ix DESC')}) SELECT doc_id, text AS a FROM f WHERE role = 'assistant'", _tier)
-    pattern(f"childless_soft{_suffix}", "dialogue", "Q = (conversation .)", "SELECT conv_id AS doc_id FROM conversations GROUP BY 1 HAVING count(*) FILTER (role <> 'system') = 0", _tier)
     pattern(f"permissive_pair{_suffix}", "session", "Q = (session (click) @c (purchase) @p)", f"WITH {_EV}, c AS (SELECT doc_id, min(ix) AS i FROM e WHERE kind = 'click' GROUP BY 1), p AS (SELECT e.doc_id, i, min(ix) AS j FROM e JOIN c ON e.doc_id = c.doc_id AND ix > i WHERE kind = 'purchase' GROUP BY 1, 2) SELECT p.doc_id, x.event_id::VARCHAR AS c, y.event_id::VARCHAR AS p FROM p JOIN e x ON x.doc_id = p.doc_id AND x.ix = i JOIN e y ON y.doc_id = p.doc_id AND y.ix = j", _tier)
     pattern(f"star_tail{_suffix}", "session", "Q = (session (click)* @xs)", f"WITH {_EV} SELECT doc_id, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY ix) FILTER (kind = 'click'), '') AS xs FROM e GROUP BY 1", _tier)
     pattern(f"plus_tail{_suffix}", "session", "Q = (session (signup)+ @xs)", f"WITH {_EV} SELECT doc_id, string_agg(event_id::VARCHAR, ',' ORDER BY ix) AS xs FROM e WHERE kind = 'signup' GROUP BY 1", _tier)
@@ -85,6 +85,19 @@ for _tier, _suffix in (("auto", ""), ("kernel", "_kernel")):
     pattern(f"capture_bool{_suffix}", "dialogue", "Q = (conversation (system)? @has :: bool)", "SELECT conv_id AS doc_id, bool_or(role = 'system') AS has FROM conversations GROUP BY 1", _tier)
     pattern(f"capture_text{_suffix}", "dialogue", "Q = (conversation (assistant) @a :: text)", f"WITH {_TURNS} SELECT doc_id, arg_min(text, ix) AS a FROM t WHERE role = 'assistant' GROUP BY 1", _tier)
 
+    pattern(f"regex_unicode{_suffix}", "dialogue", r"Q = (conversation (user =~ /^\p{Lu}\p{Ll}+[\s,.]/)* @xs)", f"WITH {_TURNS} SELECT doc_id, coalesce(string_agg(text, ',' ORDER BY ix) FILTER (role = 'user' AND regexp_matches(text, '^\\p{{Lu}}\\p{{Ll}}+[\\s,.]')), '') AS xs FROM t GROUP BY 1", _tier)
+    pattern(f"regex_dotall{_suffix}", "dialogue", r"Q = (conversation (_ =~ /(?s)^[A-Z].*[a-z]{9}.*[.?]$/)* @xs)", f"WITH {_TURNS} SELECT doc_id, coalesce(string_agg(text, ',' ORDER BY ix) FILTER (regexp_matches(text, '(?s)^[A-Z].*[a-z]{{9}}.*[.?]$')), '') AS xs FROM t GROUP BY 1", _tier)
+    _CHILD = "WITH k AS (SELECT c_custkey AS doc_id, count(o_orderkey) AS n, count(*) FILTER (o_orderstatus <> 'F') AS solid FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = 1995 GROUP BY 1) SELECT doc_id FROM k WHERE "
+    pattern(f"childless_trivia{_suffix}", "account", "Q = (account .)", _CHILD + "solid = 0 OR n = 0", _tier)
+    pattern(f"childless_exact{_suffix}", "account", "Q = (account .!)", _CHILD + "n = 0", _tier)
+    pattern(f"lazy_plus_tail{_suffix}", "session", "Q = (session (purchase)+? @xs)", f"WITH {_EV} SELECT doc_id, arg_min(event_id, ix)::VARCHAR AS xs FROM e WHERE kind = 'purchase' GROUP BY 1", _tier)
+    pattern(f"lazy_opt_then{_suffix}", "session", "Q = (session (click)?? @x (purchase) @y)", f"WITH {_EV} SELECT doc_id, NULL::VARCHAR AS x, arg_min(event_id, ix)::VARCHAR AS y FROM e WHERE kind = 'purchase' GROUP BY 1", _tier)
+    pattern(f"negated_field{_suffix}", "order", "Q = (order -missing status: (_) @s)", "SELECT o_orderkey AS doc_id, o_orderstatus AS s FROM orders", _tier)
+    pattern(f"text_list{_suffix}", "session", "Q = (session (signup)* @xs :: text)", f"WITH {_EV} SELECT doc_id, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY ix) FILTER (kind = 'signup'), '') AS xs FROM e GROUP BY 1", _tier)
+
+pattern("capture_text_composite", "props", 'Q = (document (object {"{" (pair)} @p :: text))', "SELECT event_id AS doc_id, rtrim(regexp_replace(props, '\\}\\s*$', '')) AS p FROM events")
+pattern("first_token", "props", 'Q = (document (object . "{" @t . (pair) @p :: text))', "SELECT event_id AS doc_id, '{' AS t, trim(trim(props, '{}')) AS p FROM events")
+pattern("last_token", "props", 'Q = (document (object (pair) . "}" @t .))', "SELECT event_id AS doc_id, '}' AS t FROM events")
 pattern("anchored_run", "session", "Q = (session . (view)* @v)", f"WITH {_EV}, k AS (SELECT doc_id, kind, event_id, ix, count(*) FILTER (kind NOT IN ('view', 'error')) OVER (PARTITION BY doc_id ORDER BY ix) AS broken FROM e) SELECT doc_id, string_agg(event_id::VARCHAR, ',' ORDER BY ix) AS v FROM k WHERE broken = 0 AND kind = 'view' GROUP BY 1 UNION ALL SELECT doc_id, '' FROM e GROUP BY 1 HAVING count(*) FILTER (kind <> 'error') = 0")
 _ALT = f"WITH {_EV}, f AS (SELECT * FROM e WHERE kind IN ('click', 'purchase') {_FIRST.format('ix')})"
 pattern("alternation_merged", "session", "Q = (session [(click) @c (purchase) @p])", f"{_ALT} SELECT doc_id, CASE WHEN kind = 'click' THEN event_id::VARCHAR END AS c, CASE WHEN kind = 'purchase' THEN event_id::VARCHAR END AS p FROM f")
@@ -119,6 +132,14 @@ def reference_list(spark: SparkSession, d: str) -> DataFrame:
 ORACLE_SQL["reference_list"] = "SELECT o_orderkey AS doc_id, count(l_partkey)::BIGINT AS n, coalesce(sum(l_partkey), 0)::BIGINT AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"
 
 
+def option_of_record(spark: SparkSession, d: str) -> DataFrame:
+    r = api.run(TREES["session"](spark, d), "Q = (session {(click) @c . (purchase) @p}? @pair)").where("status = 'match'")
+    return r.select("doc_id", F.col("result.pair.c.text").alias("c"), F.col("result.pair.p.text").alias("p"))
+
+
+ORACLE_SQL["option_of_record"] = f"WITH {_EV}, s AS (SELECT *, lead(kind) OVER w AS nk, lead(event_id) OVER w AS ne FROM e WHERE kind <> 'error' WINDOW w AS (PARTITION BY doc_id ORDER BY ix)), f AS (SELECT doc_id, event_id AS c, ne AS p FROM s WHERE kind = 'click' AND nk = 'purchase' {_FIRST.format('ix')}) SELECT DISTINCT e.doc_id, c::VARCHAR AS c, p::VARCHAR AS p FROM e LEFT JOIN f ON f.doc_id = e.doc_id"
+
+
 def matches_mode(spark: SparkSession, d: str) -> DataFrame:
     return api.matches(TREES["dialogue"](spark, d), "Q = (conversation (system))")
 
@@ -159,6 +180,12 @@ def missing_tags(spark: SparkSession, d: str) -> DataFrame:
     return api.run(TREES["pages"](spark, d), q, entry="Find").select("doc_id", "status", F.to_json("result").alias("result"))
 
 
+ORACLE_SQL["envelope"] = """WITH t AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'system') AS x, bool_or(role = 'system') AS has FROM conversations GROUP BY 1),
+o AS (SELECT conv_id, turn, text, role, coalesce(sum(octet_length(encode(text)) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo, octet_length(encode(text)) AS n FROM conversations),
+s AS (SELECT conv_id, arg_min(lo, turn) AS lo, arg_min(n, turn) AS n FROM o WHERE role = 'system' GROUP BY 1)
+SELECT t.conv_id AS doc_id, CASE WHEN has THEN '{"result":{"s":{"kind":"system","text":' || to_json(x)::VARCHAR || ',"span":[' || lo || ',' || (lo + n) || ']}}}' ELSE '{"result":null,"error":"no match"}' END AS json FROM t LEFT JOIN s ON s.conv_id = t.conv_id"""
+
+
 def kernel_fuel(spark: SparkSession, d: str) -> DataFrame:
     return api.run_kernel(TREES["session"](spark, d), "Q = (session (click)* (nothing))", fuel=50).select("doc_id", "status")
 
@@ -167,4 +194,4 @@ def envelope(spark: SparkSession, d: str) -> DataFrame:
     return api.envelope(api.run(TREES["dialogue"](spark, d), "Q = (conversation (system) @s)"))
 
 
-QUERIES |= {f.__name__: f for f in (alternation_labelled, record_list, reference_list, matches_mode, node_counts, tree_dump, deep_search, self_recursion, missing_tags, kernel_fuel, envelope)}
+QUERIES |= {f.__name__: f for f in (alternation_labelled, option_of_record, record_list, reference_list, matches_mode, node_counts, tree_dump, deep_search, self_recursion, missing_tags, kernel_fuel, envelope)}

@@ -38,3 +38,9 @@ def places(region: DataFrame, nation: DataFrame) -> DataFrame:
     """``region`` over its ``nation`` nodes by key."""
     rows = nation.select(F.col("n_regionkey").alias("doc_id"), F.lit("nation").alias("kind"), F.col("n_name").alias("text"), "n_nationkey")
     return flat_trees(rows, "region", ["n_nationkey"], all_docs=region.select("r_regionkey"))
+
+
+def accounts(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """``account`` of each customer over the ``order`` nodes by key; finished orders are extras."""
+    rows = orders.select(F.col("o_custkey").alias("doc_id"), F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("text"), "o_orderkey", (F.col("o_orderstatus") == "F").alias("extra"))
+    return flat_trees(rows, "account", ["o_orderkey"], all_docs=customer.select("c_custkey"))

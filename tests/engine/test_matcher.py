@@ -1,5 +1,6 @@
 """The matcher on hand-made trees, and relational plans against it on random ones."""
 
+import json
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from sylvan import api
 from sylvan.lang.analysis import compile_query
 from sylvan.operators.kernel import Matcher, Tree
 from sylvan.plans import relational
-from sylvan.sources.nodes import DDL, depths, dump
+from sylvan.sources.nodes import DDL, depths, dump, flat_trees
 from sylvan.sources.text_trees import html_tree, json_tree, parse_trees, resolve
 
 
@@ -98,6 +99,37 @@ def test_matcher(case):
     assert run(query, spec) == want
 
 
+@pytest.mark.parametrize(("query", "source", "want"), [
+    ("Q = (document (array {(number) (number)} @x :: text))", "[1, 2, 3]", "1, 2"),
+    ("Q = (document (array {(number) . (number) .} @x :: text))", "[1,  2, 3]", "2, 3"),
+    ('Q = (document (array {"[" (number)} @x :: text))', "[é1, 2]".replace("é", ""), "[1"),
+    ("Q = (document (array {(string) (number)?} @x :: text))", '["é" , 7]', '"é" , 7'),
+    ("Q = (document (array [(string) {(null) (number)}] @x :: text))", "[true, null , 7]", "null , 7"),
+    ("Q = (document (array {(string)?}? @x :: text))", "[1]", None),
+])
+def test_text_of_several_nodes_is_a_slice_of_the_source(spark, query, source, want):
+    docs = spark.createDataFrame([(1, source)], "doc_id long, source string")
+    assert api.run(parse_trees(docs, "json"), query).first()["result"]["x"] == want
+
+
+def test_a_document_without_its_root_is_an_error():
+    with pytest.raises(ValueError, match="no root"):
+        Tree.of(rows_of(R)[1:])
+
+
+def test_documents_stay_whole_when_small_partitions_are_merged(spark):
+    """Roots and children come from differently sized sides of a union, which adaptive execution coalesces each for itself."""
+    rows = spark.range(60_000).select((F.col("id") % 3000).alias("doc_id"), F.lit("a").alias("kind"), F.repeat(F.col("id").cast("string"), 40).alias("text"), "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = api.run_kernel(flat_trees(rows, "r", ["id"]), "Q = (r (a)* @xs)").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 3000 and {r["status"] for r in got} == {"match"}
+    assert all(len(json.loads(r["result"])["xs"]) == 20 for r in got)
+
+
 def test_fuel():
     storm = ("r", ["a"] * 60)
     assert run("Q = (r (a)* (a)* (a)* (b))", storm, fuel=1000) == "out of fuel"
