@@ -12,6 +12,7 @@ import gc
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,6 +75,34 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def dealt(key: np.ndarray, bucket: np.ndarray, e: np.ndarray, n_buckets: int, local: int, turn: int) -> pa.RecordBatch:
+    """Entries with the fields ``sig`` and ``role`` as binary blocks (bucket, rows, of) for the tasks that meet them.
+
+    Of a signature (``key``) with ``local`` entries or more only a mark (role 4) goes to its bucket. Its entries go in blocks with
+    negative numbers, which spread over all tasks; ``of`` then has their buckets. So no bucket grows with a hot signature.
+    """
+    order = np.argsort(key)
+    key, bucket, e = key[order], bucket[order], e[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    hot = np.repeat(size >= local, size)
+    past, of = e[hot], bucket[hot].astype("<u4")
+    blocks = []
+    for i in range(0, len(past), 50_000):
+        number = mix(np.array([int(key[hot][i]) ^ int(zlib.crc32(past[i : i + 50_000].tobytes())) + (turn << 40)], U64))[0] >> U64(33)
+        blocks.append((-1 - int(number), past[i : i + 50_000].tobytes(), of[i : i + 50_000].tobytes()))
+    mark = start[size >= local]
+    marks = e[mark].copy()
+    marks["role"] = 4
+    bucket, e = np.concatenate([bucket[~hot], bucket[mark]]), np.concatenate([e[~hot], marks])
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")  # a radix sort
+    bucket, e = bucket[order], e[order]
+    cut = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=bucket.dtype))
+    blocks += [(b, e[cut[b] : cut[b + 1]].tobytes(), b"") for b in range(n_buckets) if cut[b] < cut[b + 1]]
+    b, r, o = zip(*blocks, strict=True)
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "rows": pa.array(r, pa.binary()), "of": pa.array(o, pa.binary())})
+
+
 def task_count(df: DataFrame) -> int:
     """Number of input splits, the measure by which bucket counts follow the size of the input."""
     return max(1, df.rdd.getNumPartitions())

@@ -1,8 +1,10 @@
 """Cropped and edited copies of images by local descriptors.
 
 Corners are found at several scales, each gets the direction of its patch's centroid and 128 binary brightness tests turned
-into that direction. Quarters of descriptors, taken for neighbouring corners together, are the keys of a Hamming join: of four
-quarters, one is untouched if fewer than four bits of the two descriptors changed, and copies share many. Candidate pairs are verified by mutual nearest descriptors that agree on one similarity transform.
+into that direction. Quarters of descriptors, taken for two neighbouring corners together, are the keys of a Hamming join: copies
+share a key where the same quarter of a corner and of its neighbour is untouched, and they have many corners. Where keys meet,
+the whole descriptors must be close and the neighbour must stand in the same direction and distance, as the corner's own direction
+and scale have it. Candidate pairs are verified by mutual nearest descriptors that agree on one similarity transform.
 Images are grey or colour netpbm files (P5, P6) of any size; others count as unreadable.
 """
 
@@ -22,8 +24,10 @@ _SCALES = (1.0, 2.0)
 _MARGIN, _RADIUS, _TURNS_OF = 12, 7, 32
 _HEADER = re.compile(rb"\A(P[56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
 _CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", 16)])
-_ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8"), ("d0", "<u8"), ("d1", "<u8"), ("n0", "<u8"), ("n1", "<u8")])
+_ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8"), ("d0", "<u8"), ("d1", "<u8"), ("n0", "<u8"), ("n1", "<u8"), ("to", "u1"), ("turn", "u1"), ("far", "u1")])
 _TURNS = 5
+#: How far directions (in 256ths of a circle) and distances (in 16ths of a doubling) of neighbours may be apart.
+_TURNED, _FARTHER = 20, 6
 #: Images that share a key up to which all pairs of them are looked at in place.
 SMALL = 16
 
@@ -143,15 +147,21 @@ def keys(c: np.ndarray, image: int) -> np.ndarray:
             e["sig"], e["id"] = mix(q * U64(0x9E3779B97F4A7C15) + mix(q[near])), image
             for k in (0, 1):
                 e[f"d{k}"], e[f"n{k}"] = whole[:, k, None], whole[near, k, None]
+            x, y, a = (p[c][near] - p[c] for c in ("x", "y", "angle"))
+            circle = lambda r: np.rint(r / (2 * np.pi) * 256).astype(np.int64) % 256
+            e["to"], e["turn"] = circle(np.arctan2(y, x) - p["angle"])[:, None], circle(a)[:, None]
+            e["far"] = np.clip(np.rint(16 * np.log2(np.maximum(np.hypot(x, y) / scale, 1))), 0, 255)[:, None]
             out.append(e.ravel())
     e = np.concatenate(out)
     return e[np.unique(e["sig"], return_index=True)[1]]
 
 
 def alike(p: np.ndarray, q: np.ndarray, distance: int = 20) -> np.ndarray:
-    """Which pairs of entries have both descriptors within a Hamming distance."""
+    """Which pairs of entries have both descriptors within a Hamming distance, and the neighbour in the same place."""
     apart = lambda c: np.bitwise_count(p[f"{c}0"] ^ q[f"{c}0"]) + np.bitwise_count(p[f"{c}1"] ^ q[f"{c}1"])
-    return (p["id"] != q["id"]) & (apart("d") <= distance) & (apart("n") <= distance)
+    off = lambda c: np.abs((p[c] - q[c]).view(np.int8).astype(np.int64))
+    placed = (off("to") <= _TURNED) & (off("turn") <= _TURNED) & (np.abs(p["far"].astype(np.int64) - q["far"]) <= _FARTHER)
+    return (p["id"] != q["id"]) & (apart("d") <= distance) & (apart("n") <= distance) & placed
 
 
 def agreeing(a: np.ndarray, b: np.ndarray, distance: int = 20, slack: float = 3.0) -> int:
@@ -240,13 +250,16 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
         columns["other"] = pa.array(np.r_[two[:, 1], np.zeros(len(e), np.int64)], mask=np.r_[np.zeros(len(two), bool), np.ones(len(e), bool)])
         for c in ("sig", "d0", "d1", "n0", "n1"):
             columns[c] = pa.array(np.r_[np.zeros(len(two), np.int64), e[c].astype(np.int64)])
+        for c in ("to", "turn", "far"):
+            columns[c] = pa.array(np.r_[np.zeros(len(two), np.int32), e[c].astype(np.int32)])
         return pa.table(columns)
 
     entries = held.select("id", "corners").mapInArrow(lean(index), "bucket int, rows binary").groupBy("bucket")
-    entries = stored(entries.applyInArrow(lean_group(shared_only), "id long, other long, sig long, d0 long, d1 long, n0 long, n1 long"), "image-keys")
+    entries = stored(entries.applyInArrow(lean_group(shared_only), "id long, other long, sig long, d0 long, d1 long, n0 long, n1 long, to int, turn int, far int"), "image-keys")
     few = entries.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     apart = lambda p, q, c: F.bit_count(F.col(f"{p}.{c}0").bitwiseXOR(F.col(f"{q}.{c}0"))) + F.bit_count(F.col(f"{p}.{c}1").bitwiseXOR(F.col(f"{q}.{c}1")))
-    close = lambda p, q: (apart(p, q, "d") <= 20) & (apart(p, q, "n") <= 20)
+    off = lambda p, q, c: F.least(F.pmod(F.col(f"{p}.{c}") - F.col(f"{q}.{c}"), F.lit(256)), F.pmod(F.col(f"{q}.{c}") - F.col(f"{p}.{c}"), F.lit(256)))
+    close = lambda p, q: (apart(p, q, "d") <= 20) & (apart(p, q, "n") <= 20) & (off(p, q, "to") <= _TURNED) & (off(p, q, "turn") <= _TURNED) & (F.abs(F.col(f"{p}.far") - F.col(f"{q}.far")) <= _FARTHER)
 
     def verified(pairs: DataFrame) -> DataFrame:
         def verify(rows):
@@ -262,7 +275,7 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
     left = entries.where("other is null").drop("other").withColumn("c", F.col("id"))
     for turn in range(_TURNS):
         h = lambda c: F.xxhash64(c, F.lit(seed + turn))  # noqa: B023, E731
-        whole = F.struct(h("id"), "id", "c", "d0", "d1", "n0", "n1")
+        whole = F.struct(h("id").alias("o"), "id", "c", "d0", "d1", "n0", "n1", "to", "turn", "far")
         hubs = left.groupBy("sig").agg(F.min(whole).alias("h"), F.max(whole).alias("k"))
         one = left.alias("x").join(hubs, "sig").select(F.col("x.id").alias("id"), F.when((F.col("h.c") != F.col("x.c")) & close("x", "h"), F.col("h.id")).when((F.col("k.c") != F.col("x.c")) & close("x", "k"), F.col("k.id")).alias("hub")).where("hub is not null")
         one = one.groupBy("id", "hub").agg(F.count("*").alias("n")).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"), "id", "n")
@@ -272,7 +285,7 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
         links = stored(got if links is None else links.union(got), "image-links")
         tried = pairs if tried is None else tried.union(pairs)
         reached = components(links).withColumnRenamed("id", "v")
-        left = left.drop("c").join(reached, F.col("id") == F.col("v"), "left").select("sig", "id", "d0", "d1", "n0", "n1", F.coalesce("component", "id").alias("c"))
+        left = left.drop("c").join(reached, F.col("id") == F.col("v"), "left").select("sig", "id", "d0", "d1", "n0", "n1", "to", "turn", "far", F.coalesce("component", "id").alias("c"))
         sizes = left.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1")
         left = stored(left.join(sizes.select("sig"), "sig", "left_semi"), "image-left")
         n, open_pairs = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0))).first()

@@ -3,8 +3,8 @@
 A line is the set of its distinct words. Words are ordered by rarity: those of one line only, which no match can share, then
 unlisted ones, then the listed frequent ones by rising frequency. Of that order a line indexes a prefix, which is extended so that
 its words can be taken in pairs inside hash groups (as the frequent shingles of ``ngram_join`` are): two lines seldom hold the
-same two words by chance, however large the corpus. Candidates pass length and positional filters, and Jaccard is verified over
-the whole sets. A line goes if an earlier line, in the order (doc_id, line number), has a Jaccard of 0.8 or more with it, whether or
+same two words by chance, however large the corpus. Candidates pass length and positional filters and one on 64-bit maps of their
+words, and Jaccard is verified over the whole sets. A line goes if an earlier line, in the order (doc_id, line number), has a Jaccard of 0.8 or more with it, whether or
 not that earlier line stays itself.
 
 Why no match is lost. Of a line of n words, at most n // 5 are missing in a smaller match and n // 9 in a larger one. A group with c
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, Words, batches, bloom_has, bloom_of, forget, lean, lean_group, mix, release, stored, task_count
+from sylvan.llm.common import U64, Words, batches, bloom_has, bloom_of, dealt, forget, lean, lean_group, mix, release, stored, task_count
 from sylvan.llm.ngram_join import _HELD
 
 #: Lines with a word counted from here may be listed with their frequency, and the most entries of that list.
@@ -86,13 +86,19 @@ class Lines:
         y = np.bitwise_xor.reduceat(mix(self.words + U64(77))[self.word], start)
         return mix(x + mix(y) * U64(0x9E3779B97F4A7C15) + self.size.astype(U64)).astype(np.int64)
 
+    def bitmaps(self) -> np.ndarray:
+        """64 bits for each line, of which each word sets one (without ``listed``, as it needs all words)."""
+        if not len(self.size):
+            return np.zeros(0, np.int64)
+        return np.bitwise_or.reduceat((U64(1) << (mix(self.words) >> U64(58)))[self.word], self.start[:-1]).view(np.int64)
+
     def ids(self) -> np.ndarray:
         """A 64-bit id for each line, equal for equal sets: two sums over mixed hashes, whatever their order."""
         return self._ids
 
 
 def describe_lines(docs: DataFrame) -> DataFrame:
-    """Rows of lines (bucket null: doc_id, line, n words, id of its set) and of word counts (words, and lines that have them, in blocks)."""
+    """Rows of lines (bucket null: doc_id, line, n words, id of its set, its bitmap) and of word counts (words, and lines that have them, in blocks)."""
     n_buckets = min(1 << 15, 4 * task_count(docs))
 
     def run(rows):
@@ -108,9 +114,9 @@ def describe_lines(docs: DataFrame) -> DataFrame:
             key, n = key[order], n[order]
             full = [b for b in range(n_buckets) if cut[b] < cut[b + 1]]
             none = pa.nulls(len(full), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, pa.nulls(len(full), pa.int32()), none, none, pa.array([key[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([n[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, pa.nulls(len(full), pa.int32()), none, none, none, pa.array([key[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([n[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())], names)
 
-        names = ["bucket", "doc_id", "line", "n", "id", "words", "times"]
+        names = ["bucket", "doc_id", "line", "n", "id", "bits", "words", "times"]
         for ids, texts in batches(rows, "doc_id", "text"):
             for lo in range(0, len(ids), 250):
                 x = Lines(ids[lo : lo + 250], texts[lo : lo + 250])
@@ -118,13 +124,13 @@ def describe_lines(docs: DataFrame) -> DataFrame:
                     continue
                 held.append((x.words, np.bincount(x.word, minlength=len(x.words))))
                 none = pa.nulls(len(x.size), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(x.size), pa.int32()), pa.array(x.doc, pa.int64()), pa.array(x.line, pa.int32()), pa.array(x.size, pa.int64()), pa.array(x.ids(), pa.int64()), none, none], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(x.size), pa.int32()), pa.array(x.doc, pa.int64()), pa.array(x.line, pa.int32()), pa.array(x.size, pa.int64()), pa.array(x.ids(), pa.int64()), pa.array(x.bitmaps(), pa.int64()), none, none], names)
                 if sum(len(h) for h, _ in held) > _HELD:
                     yield flush()
         if held:
             yield flush()
 
-    return docs.mapInArrow(lean(run), "bucket int, doc_id long, line int, n long, id long, words binary, times binary")
+    return docs.mapInArrow(lean(run), "bucket int, doc_id long, line int, n long, id long, bits long, words binary, times binary")
 
 
 def listed_words(described: DataFrame, most: int = LISTED_MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,27 +231,7 @@ def shared_entries(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray, np.nda
         def flush():
             bucket, e = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            key = (bucket << U64(32)) | e["sig"].astype(U64)
-            order = np.argsort(key)
-            key, e = key[order], e[order]
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[start, len(key)])
-            hot = np.repeat(size >= local, size)
-            blocks, past, of_past = [], e[hot], (key[hot] >> U64(32)).astype("<u4")
-            if len(past):
-                for i in range(0, len(past), 50_000):
-                    blocks.append((-1 - int(mix(key[hot][i : i + 1] + past["id"][i : i + 1].astype(U64) + U64(turn))[0] >> U64(33)), past[i : i + 50_000].tobytes(), of_past[i : i + 50_000].tobytes()))
-                marks = np.zeros(int((size >= local).sum()), _ENTRY)
-                marks["sig"], marks["role"] = key[start[size >= local]] & U64(0xFFFFFFFF), 4
-                bucket = np.concatenate([key[~hot] >> U64(32), key[start[size >= local]] >> U64(32)])
-                order = np.argsort(bucket, kind="stable")
-                bucket, e = bucket[order], np.concatenate([e[~hot], marks])[order]
-            else:
-                bucket = key >> U64(32)
-            cut = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=U64))
-            blocks += [(b, e[cut[b] : cut[b + 1]].tobytes(), b"") for b in range(n_buckets) if cut[b] < cut[b + 1]]
-            b, r, o = zip(*blocks, strict=True)
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "rows": pa.array(r, pa.binary()), "of": pa.array(o, pa.binary())})
+            return dealt((bucket << U64(32)) | e["sig"].astype(U64), bucket, e, n_buckets, local, turn)
 
         for ids, texts in batches(rows, "doc_id", "text"):
             for lo in range(0, len(ids), 250):
@@ -310,15 +296,14 @@ def shared_entries(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray, np.nda
     return found.applyInArrow(lean_group(shared_only), "sig long, a long, b long, n int, pos int, role int")
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, first: DataFrame, listed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """Of the pairs (early, late) of line sets, those with Jaccard 0.8 or more.
+def _sets_of(docs: DataFrame, needed: DataFrame, first: DataFrame, listed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, size, often, rest) of the line sets of ``needed`` (id), from the line that is the first to have each.
 
-    Sets travel once from the line that is the first to have them: listed words by their places in the list, others by their whole
-    hashes; of words that no other line has, only the number counts.
+    Listed words go by their places in the list, others by their whole hashes; of words that no other line has, ``size`` has the
+    number. Some sets that are not needed may be there as well.
     """
     sc = docs.sparkSession.sparkContext
-    needed = pairs.select(F.col("early").alias("id")).union(pairs.select("late")).distinct()
-    places = stored(needed.join(first, "id").select("doc_id", F.xxhash64("id", "doc_id").alias("at")), "line-needed")
+    places = stored(needed.distinct().join(first, "id").select("doc_id", F.col("id").bitwiseXOR(F.col("doc_id")).alias("at")), "line-needed")
     in_docs, in_lines, shared = sc.broadcast(bloom_of(places.select("doc_id").distinct())), sc.broadcast(bloom_of(places.select("at"))), sc.broadcast(listed)
     forget(places)
 
@@ -333,11 +318,18 @@ def _similar(docs: DataFrame, pairs: DataFrame, first: DataFrame, listed: tuple[
                 of = x.ids()
                 if not len(of):
                     continue
-                keep = np.unique(np.stack([x.doc, of], axis=1), axis=0, return_index=True)[1]
+                keep = np.flatnonzero(bloom_has(in_lines.value, of ^ x.doc))
+                keep = keep[np.unique(np.stack([x.doc[keep], of[keep]], axis=1), axis=0, return_index=True)[1]]
                 code, often = x.code, x.code < U64(LISTED_MOST)
                 some = [code[x.start[i] : x.start[i + 1]][often[x.start[i] : x.start[i + 1]]] for i in keep]
                 rest = [code[x.start[i] : x.start[i + 1]][~often[x.start[i] : x.start[i + 1]]] for i in keep]
-                yield pa.RecordBatch.from_pydict({"id": pa.array(of[keep], pa.int64()), "doc_id": pa.array(x.doc[keep], pa.int64()), "size": pa.array(x.size[keep].astype(np.int32)), "often": pa.array([_three(v) for v in some], pa.binary()), "rest": pa.array([v.tobytes() for v in rest], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": pa.array(of[keep], pa.int64()), "size": pa.array(x.size[keep].astype(np.int32)), "often": pa.array([_three(v) for v in some], pa.binary()), "rest": pa.array([v.tobytes() for v in rest], pa.binary())})
+
+    return docs.mapInArrow(lean(sets), "id long, size int, often binary, rest binary")
+
+
+def _similar(have: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (early, late) of line sets, those with Jaccard 0.8 or more, by the sets of ``_sets_of``."""
 
     def verify(rows):
         for b in rows:
@@ -360,12 +352,47 @@ def _similar(docs: DataFrame, pairs: DataFrame, first: DataFrame, listed: tuple[
                 ok = pa.array(5 * both >= 4 * (n + m - both))
                 yield pa.RecordBatch.from_arrays([c["early"].filter(ok), c["late"].filter(ok)], ["early", "late"])
 
-    have = docs.mapInArrow(lean(sets), "id long, doc_id long, size int, often binary, rest binary")
     side = lambda s, c: have.select(F.col("id").alias(c), *(F.col(n).alias(f"{s}_{n}") for n in ("size", "often", "rest")))
     both = pairs.join(side("q", "late"), "late").join(side("p", "early"), "early")
     return both.mapInArrow(lean(verify), "early long, late long")
 
 
+def _rare_here(have: DataFrame, lines: DataFrame) -> DataFrame:
+    """Candidates (early, late) among the line sets ``lines`` (id, at, size, bits, still), late being one that still stands.
+
+    Lines that share a frequent passage share pairs of its words. Among themselves those are the most frequent words: in the order of
+    rarity within these lines alone, a prefix of single words ends before them.
+    """
+
+    def spelled(rows):
+        for b in rows:
+            often, rest = b.column(2).to_pylist(), b.column(3).to_pylist()
+            n = np.array([len(o) // 3 + len(r) // 8 for o, r in zip(often, rest, strict=True)], np.int64)
+            code = [_whole(o) if k else np.frombuffer(r, U64) for o, r in zip(often, rest, strict=True) for k in (1, 0)]
+            yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(b.column(0).to_numpy(), n), pa.int64()), "code": pa.array(np.concatenate(code).astype(np.int64), pa.int64())})
+
+    words = have.join(lines.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "often", "rest").mapInArrow(lean(spelled), "id long, code long")
+    words = stored(words, "line-words-here")
+    df = words.groupBy("code").agg(F.count("*").alias("df"))
+    # a list is as long as its line
+    order = words.join(df, "code").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "code"))).alias("order")).join(lines, "id")
+    own = F.col("size") - F.size("order")
+    order = order.withColumn("own", own).withColumn("prefix", F.floor(F.col("size") / 5).cast("int") - own + 1).where("prefix > 0")
+    found = order.select("id", "at", "size", "bits", "still", "own", F.posexplode(F.slice("order", 1, F.col("prefix"))).alias("i", "w"))
+    found = found.where("w.df > 1").select("id", "at", "size", "bits", "still", (F.col("own") + F.col("i")).alias("pos"), F.col("w.code").alias("code"))
+    found = stored(found.withColumn("small", F.col("pos") < F.floor(F.col("size") / 9) + 1), "line-rare-here")
+    x, y = found.alias("x"), found.where("still").alias("y")
+    fits = (F.least("x.size", "y.size") * 5 >= F.greatest("x.size", "y.size") * 4) & (9 * (F.least("x.pos", "y.pos") + F.least(F.expr("x.size - x.pos"), F.expr("y.size - y.pos"))) >= 4 * (F.col("x.size") + F.col("y.size")))
+    roles = F.expr("x.size <= y.size and x.small or x.size >= y.size and y.small")
+    return y.join(x, F.expr("x.code = y.code and x.at < y.at") & fits & roles & _alike("x", "y")).select(F.col("x.id").alias("early"), F.col("y.id").alias("late"))
+
+
+def _alike(p: str, q: str):
+    """Whether two sets can have a Jaccard of 0.8, as their bitmaps show; a bit of only one of them is a word of only that."""
+    only = lambda r, t: F.bit_count(F.col(f"{r}.bits").bitwiseAND(F.bitwise_not(F.col(f"{t}.bits"))))
+    return 9 * F.least(F.col(f"{p}.size") - only(p, q), F.col(f"{q}.size") - only(q, p)) >= 4 * (F.col(f"{p}.size") + F.col(f"{q}.size"))
+
+
 def _three(code: np.ndarray) -> bytes:
     return code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
 
@@ -386,17 +413,19 @@ def duplicate_lines(docs: DataFrame, small: int = SMALL, local: int = LOCAL, lis
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     described = stored(describe_lines(docs), "lines")
     listed = listed_words(described, min(listed_most, LISTED_MOST))
-    lines = stored(described.where("bucket is null").select("doc_id", "line", "id"), "line-ids")
+    every = described.where("bucket is null")
+    lines = stored(every.select("doc_id", "line", "id"), "line-ids")
+    first = stored(every.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max("n").alias("size"), F.max("bits").alias("bits")), "line-classes")
     forget(described)
-    first = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at")), "line-classes")
     by_id = first.select("id", "at.doc_id", "at.line")
 
     index = stored(shared_entries(docs, listed, small, local), "line-index")
-    at = lambda c, as_: by_id.select(F.col("id").alias(c), F.struct("doc_id", "line").alias(as_))
+    at = lambda c, as_: first.select(F.col("id").alias(c), F.struct("at", "size", "bits").alias(as_))
+
     # which of a pair is the earlier one is known by the first places of their sets
-    few = index.where("b is not null").select("a", "b").distinct().join(at("a", "at"), "a").join(at("b", "bt"), "b")
-    few = few.select(F.when(F.col("at") < F.col("bt"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("at") < F.col("bt"), F.col("b")).otherwise(F.col("a")).alias("late"))
-    groups = stored(index.where("b is null").select("sig", F.col("a").alias("id"), "n", "pos", "role").join(at("id", "at"), "id"), "line-groups")
+    few = index.where("b is not null").select("a", "b").distinct().join(at("a", "p"), "a").join(at("b", "q"), "b").where(_alike("p", "q"))
+    few = few.select(F.when(F.col("p.at") < F.col("q.at"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("p.at") < F.col("q.at"), F.col("b")).otherwise(F.col("a")).alias("late"))
+    groups = stored(index.where("b is null").select("sig", F.col("a").alias("id"), "n", "pos", "role").join(first, "id"), "line-groups")
     col = lambda a: lambda c: F.col(f"{a}.{c}")
 
     def close(p, q):
@@ -407,24 +436,28 @@ def duplicate_lines(docs: DataFrame, small: int = SMALL, local: int = LOCAL, lis
 
     # All pairs of signatures of few sets, and for those of many each set against the earliest, which settles most members of groups
     # of near copies ...
-    hub = groups.groupBy("sig").agg(F.min(F.struct("at", "id", "n", "pos", "role")).alias("hub"))
-    star = groups.alias("y").join(hub.select("sig", "hub.*").alias("x"), "sig").where(F.col("x.id") != F.col("y.id")).where(close(col("x"), col("y")))
+    hub = groups.groupBy("sig").agg(F.min(F.struct("at", "id", "n", "pos", "role", "size", "bits")).alias("hub"))
+    star = groups.alias("y").join(hub.select("sig", "hub.*").alias("x"), "sig").where(F.col("x.id") != F.col("y.id")).where(close(col("x"), col("y")) & _alike("x", "y"))
     star = star.groupBy(F.col("y.id").alias("late")).agg(F.min_by("x.id", F.col("x.at")).alias("early")).select("early", "late")
     tried = stored(few.union(star).distinct(), "line-pairs")
     forget(index)
-    gone = stored(_similar(docs, tried, by_id, listed).select(F.col("late").alias("id")).distinct(), "line-gone")
-    # ... then those that still stand against all earlier ones of a signature.
-    still = groups.join(gone, "id", "left_anti")
-    rest = still.alias("y").join(groups.alias("x"), F.expr("x.sig = y.sig and x.at < y.at")).where(close(col("x"), col("y")))
-    rest = rest.select(F.col("x.id").alias("early"), F.col("y.id").alias("late"))
-    rest = stored(rest.distinct().join(tried, ["early", "late"], "left_anti"), "line-rest")
-    forget(tried)
+    ids = lambda *cs: tried.select(F.col(cs[0]).alias("id")).union(tried.select(cs[1]))
+    gone = stored(_similar(_sets_of(docs, ids("early", "late"), by_id, listed), tried).select(F.col("late").alias("id")).distinct(), "line-gone")
+    # ... then those that still stand against all earlier lines of their signatures, by words that are rare there.
+    still = groups.join(gone, "id", "left_anti").select("sig", "id")
+    met = groups.join(still.select("sig").distinct(), "sig", "left_semi").select("id", "at", "size", "bits").dropDuplicates(["id"])
+    met = stored(met.join(still.select("id").distinct().withColumn("still", F.lit(True)), "id", "left").fillna(False, "still"), "line-met")
     forget(groups)
-    if not rest.isEmpty():
-        more = stored(_similar(docs, rest, by_id, listed).select(F.col("late").alias("id")).distinct(), "line-gone")
+    if not met.isEmpty():
+        have = stored(_sets_of(docs, met.select("id"), by_id, listed), "line-sets")
+        rest = stored(_rare_here(have, met).distinct().join(tried, ["early", "late"], "left_anti"), "line-rest")
+        more = stored(_similar(have, rest).select(F.col("late").alias("id")).distinct(), "line-gone")
         gone = gone.union(more).distinct()
-    forget(rest)
-    classes = first.join(gone.withColumn("gone", F.lit(True)), "id", "left")
+        forget(have)
+        forget(rest)
+    forget(met)
+    forget(tried)
+    classes = first.select("id", "at").join(gone.withColumn("gone", F.lit(True)), "id", "left")
     out = lines.join(classes, "id").where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "line") > F.col("at"))).select("doc_id", "line")
     release(docs.sparkSession)
     return out
