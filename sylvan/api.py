@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.lang.analysis import Query, check, compile_query, load_query
+from sylvan.lang.show import show
+from sylvan.limits import Limit
 from sylvan.plans import relational
+from sylvan.plans.emit import ddl, typescript
 from sylvan.plans.schema import result_type
-from sylvan.sources.nodes import COLUMNS, dump
-from sylvan.sources.text_trees import parse_trees
+from sylvan.sources.nodes import COLUMNS, dump, dump_json
+from sylvan.sources.text_trees import BUILDERS, parse_trees
 
 
 def infer_schema(query: Query | str, entry: str | None = None) -> T.DataType | None:
@@ -21,68 +24,97 @@ def infer_schema(query: Query | str, entry: str | None = None) -> T.DataType | N
     return result_type(_query(query), entry)
 
 
-def run(nodes: DataFrame, query: Query | str, entry: str | None = None, fuel: int | None = None, tier: str = "auto") -> DataFrame:
+def run(nodes: DataFrame, query: Query | str, entry: str | None = None, fuel: Limit = None, tier: str = "auto", memory: Limit = None, stats: bool = False, provenance: bool = False) -> DataFrame:
     """(doc_id, status, result) for each document of a node table.
 
-    status is ``match``, ``no match`` or ``out of fuel``; result has the entry's type (a variant if that contains itself, absent
-    if it is match only). ``tier`` is ``auto``, ``relational`` (an error where no plan is known) or ``kernel``. Relational plans
-    know no fuel, so a bound on it runs the matcher.
+    status is ``match``, ``no match``, ``out of fuel`` or ``out of memory``; result has the entry's type (a variant if that
+    contains itself, absent if it is match only). ``tier`` is ``auto``, ``relational`` (an error where no plan is known) or ``kernel``.
+    Relational plans know no limits, so bounds, ``stats`` (adds run_stats) and ``provenance`` (adds result_provenance) run the matcher.
     """
     q = _query(query)
-    if tier != "kernel" and fuel is None and (found := relational.plan(nodes, q, entry)) is not None:
+    if tier != "kernel" and fuel is None and memory is None and not stats and not provenance and (found := relational.plan(nodes, q, entry)) is not None:
         out = nodes.where("parent_id is null").select("doc_id").join(found.withColumn("_hit", F.lit(True)), "doc_id", "left")
         status = F.when(F.col("_hit"), "match").otherwise("no match").alias("status")
         shape = result_type(q, entry)
         return out.select("doc_id", status, *([F.col("result").cast(shape).alias("result")] if shape is not None else []))
     if tier == "relational":
         raise ValueError("there is no relational plan for this entry")
-    raw = run_kernel(nodes, q, entry, fuel)
+    raw = run_kernel(nodes, q, entry, fuel, memory, provenance)
     shape = result_type(q, entry)
+    more = [F.struct("fuel_used", "peak_bytes").alias("run_stats")] if stats else []
+    if provenance:
+        more.append(F.from_json("provenance", "array<struct<path:string,query_span:array<int>,source_span:array<int>>>").alias("result_provenance"))
     if shape is None:
-        return raw.select("doc_id", "status")
+        return raw.select("doc_id", "status", *more)
     parsed = F.parse_json("result") if isinstance(shape, T.VariantType) else F.from_json("result", shape)
-    return raw.select("doc_id", "status", parsed.alias("result"))
+    return raw.select("doc_id", "status", parsed.alias("result"), *more)
 
 
-def run_kernel(nodes: DataFrame, query: Query | str, entry: str | None = None, fuel: int | None = None) -> DataFrame:
-    """(doc_id, status, result as JSON text, fuel_used): the matcher over one document at a time."""
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """A document's nodes come together and in order, so that only one document is held at a time. The key is an expression that no
+    input is dealt by already: a union of inputs that are, each coalesced for itself, would be taken as dealt and split documents."""
+    return nodes.select(*COLUMNS).repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "node_id")
+
+
+def _documents(rows):
+    """The nodes of each document, as dicts, and the number of documents that began in each Arrow batch so far."""
+    held: list[dict] = []
+    for batch in rows:
+        for r in batch.to_pylist():
+            if held and r["doc_id"] != held[0]["doc_id"]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def run_kernel(nodes: DataFrame, query: Query | str, entry: str | None = None, fuel: Limit = None, memory: Limit = None, provenance: bool = False) -> DataFrame:
+    """(doc_id, status, result as JSON text, fuel_used, peak_bytes, provenance as JSON text): the matcher over one document at a time.
+
+    provenance is null unless asked for; it lists, for each value of a result, its path, its span in the query and in the source.
+    """
     q = _query(query)
     name = q.entry(entry).name
+    schema = pa.schema([("doc_id", pa.int64()), ("status", pa.string()), ("result", pa.string()), ("fuel_used", pa.int64()), ("peak_bytes", pa.int64()), ("provenance", pa.string())])
 
     def match(rows):
+        from sylvan.operators.kernel import STEP_BYTES, Matcher, Tree
+
+        matcher = Matcher(q, name, fuel, memory)
+        out: list[tuple] = []
+        as_text = lambda v: json.dumps(v, ensure_ascii=False)
+        for held in _documents(rows):
+            status, value = matcher.match_tree(Tree.of(held))
+            hit = status == "match"
+            out.append((held[0]["doc_id"], status, as_text(matcher.plain(value)) if hit else None, matcher.used, matcher.peak * STEP_BYTES, as_text(matcher.provenance(value)) if hit and provenance else None))
+            if len(out) == 1000:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+                out = []
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+
+    return _dealt(nodes).mapInArrow(match, "doc_id long, status string, result string, fuel_used long, peak_bytes long, provenance string")
+
+
+def trace(nodes: DataFrame, query: Query | str, entry: str | None = None, fuel: Limit = None) -> DataFrame:
+    """(doc_id, step, query_start, query_end, node_id, kind, fits): each node that the matcher tries, in order."""
+    q = _query(query)
+    name = q.entry(entry).name
+    names = ["doc_id", "step", "query_start", "query_end", "node_id", "kind", "fits"]
+
+    def steps(rows):
         from sylvan.operators.kernel import Matcher, Tree
 
-        matcher = Matcher(q, name, fuel)
-        held: list[dict] = []
-        out: list[list] = [[], [], [], []]
-
-        def done() -> None:
-            status, value, used = matcher.run(Tree.of(held))
-            text = json.dumps(value, ensure_ascii=False) if status == "match" else None
-            for c, v in zip(out, (held[0]["doc_id"], status, text, used), strict=True):
-                c.append(v)
-
-        def flush() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())], ["doc_id", "status", "result", "fuel_used"])
-            for c in out:
-                c.clear()
-            return found
-
-        for batch in rows:
-            for r in batch.to_pylist():
-                if held and r["doc_id"] != held[0]["doc_id"]:
-                    done()
-                    held = []
-                held.append(r)
-            yield flush()
-        if held:
-            done()
-        yield flush()
-
-    # a document's nodes come together and in order; only one document is held at a time. The key is an expression that no input
-    # is dealt by already: a union of inputs that are, each coalesced for itself, would be taken as dealt and split documents
-    dealt = nodes.select(*COLUMNS).repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "node_id")
-    return dealt.mapInArrow(match, "doc_id long, status string, result string, fuel_used long")
+        for held in _documents(rows):
+            events: list[tuple] = []
+            tree = Tree.of(held)
+            Matcher(q, name, fuel, trace=events).match_tree(tree)
+            for lo in range(0, len(events), 10_000):
+                part = events[lo : lo + 10_000]
+                used, start, end, node, fits = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([held[0]["doc_id"]] * len(part), pa.int64()), pa.array(used, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(node, pa.int32()), pa.array([tree.kind[n] for n in node]), pa.array(fits)], names)
+
+    return _dealt(nodes).mapInArrow(steps, "doc_id long, step long, query_start int, query_end int, node_id int, kind string, fits boolean")
 
 
 def matches(nodes: DataFrame, query: Query | str, entry: str | None = None) -> DataFrame:
@@ -90,15 +122,46 @@ def matches(nodes: DataFrame, query: Query | str, entry: str | None = None) -> D
     return run(nodes, query, entry).select("doc_id", (F.col("status") == "match").alias("matched"))
 
 
-def envelope(result: DataFrame) -> DataFrame:
-    """(doc_id, json): each row of ``run`` as one JSON object with ``result`` and, without a match, ``error``."""
-    body = F.to_json(F.struct("result"), {"ignoreNullFields": "false"}) if "result" in result.columns else F.lit('{"result":null}')
-    none = F.concat(F.lit('{"result":null,"error":"'), "status", F.lit('"}'))
+def envelope(result: DataFrame, pretty: bool = False) -> DataFrame:
+    """(doc_id, json): each row of ``run`` as one JSON object with ``result`` and, without a match, ``error``.
+
+    With the columns of ``run(..., stats=True)`` also ``run_stats``, and with those of ``provenance=True`` ``result_provenance``.
+    """
+    shown = [c for c in ("run_stats", "result_provenance") if c in result.columns]
+    value = F.col("result") if "result" in result.columns else F.lit(None).cast("string").alias("result")
+    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
+    body = F.to_json(F.struct(value.alias("result"), *shown), options)
+    none = F.to_json(F.struct(F.lit(None).cast("string").alias("result"), F.col("status").alias("error"), *(c for c in shown if c == "run_stats")), options)
     return result.select("doc_id", F.when(F.col("status") == "match", body).otherwise(none).alias("json"))
 
 
+def languages() -> list[str]:
+    """Languages that ``parse_trees`` reads."""
+    return sorted(BUILDERS)
+
+
+def check_json(text: str | dict[str, str], strict: bool = False) -> list[dict]:
+    """Findings of ``check`` as plain data: kind, severity, message, source, span, line and column."""
+    sources = {"query": text} if isinstance(text, str) else text
+    out = []
+    for d in check(text, strict)[1]:
+        line, column = d.located(sources.get(d.source, ""))
+        out.append({"kind": d.kind, "severity": d.severity, "message": d.message, "source": d.source, "span": [d.start, d.end], "line": line, "column": column})
+    return out
+
+
+def inspect(text: str | dict[str, str], entry: str | None = None) -> dict:
+    """What is known of a query before it runs: findings, definitions, the entry, its type as DDL and TypeScript, its pattern."""
+    q, _ = check(text)
+    findings = check_json(text)
+    out = {"diagnostics": findings, "definitions": list(q.definitions)}
+    if any(f["severity"] == "error" for f in findings):
+        return out
+    return out | {"entry": q.entry(entry).name, "schema": ddl(q, entry), "typescript": typescript(q), "pattern": {n: show(d.body) for n, d in q.definitions.items()}}
+
+
 def _query(q: Query | str) -> Query:
     return compile_query(q) if isinstance(q, str) else q
 
 
-__all__ = ["check", "compile_query", "dump", "envelope", "infer_schema", "load_query", "matches", "parse_trees", "run", "run_kernel"]
+__all__ = ["check", "check_json", "compile_query", "dump", "dump_json", "envelope", "infer_schema", "inspect", "languages", "load_query", "matches", "parse_trees", "run", "run_kernel", "trace"]

@@ -52,17 +52,66 @@ def dump(nodes: DataFrame, anonymous: bool = True) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("tree"))
 
 
-def depths(nodes: DataFrame, most: int = 10_000) -> DataFrame:
-    """``nodes`` with their depth, found level by level; only links, not texts, take part."""
-    from sylvan.plans.store import stored
-
-    links = nodes.select("doc_id", "node_id", "parent_id")
-    level = links.where("parent_id is null").select("doc_id", "node_id", F.lit(0).alias("depth"))
-    found, n = level, 0
-    while n < most:
-        n += 1
-        level = stored(links.alias("c").join(level.alias("p"), F.expr("c.doc_id = p.doc_id and c.parent_id = p.node_id")).select("c.doc_id", "c.node_id", F.lit(n).alias("depth")))
-        if level.isEmpty():
-            break
-        found = found.union(level)
+def _by_document(nodes: DataFrame, build, schema: str) -> DataFrame:
+    """Rows (as tuples) that ``build`` makes of each document's nodes, which come to it in order as dicts, one document at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[dict] = []
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if held and r["doc_id"] != held[0]["doc_id"]:
+                    rows += build(held)
+                    held = []
+                held.append(r)
+            yield _batch(pa, rows, schema)
+        if held:
+            yield _batch(pa, build(held), schema)
+
+    return nodes.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "node_id").mapInArrow(run, schema)
+
+
+def _batch(pa, rows: list[tuple], schema: str):
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with their depth, however deep; only links, not texts, go through Python."""
+
+    def build(rows):
+        at: dict[int, int] = {}
+        for r in rows:  # a parent comes before its children
+            at[r["node_id"]] = at[r["parent_id"]] + 1 if r["parent_id"] is not None else 0
+        return [(r["doc_id"], r["node_id"], at[r["node_id"]]) for r in rows]
+
+    found = _by_document(nodes.select("doc_id", "node_id", "parent_id"), build, "doc_id long, node_id int, depth int")
     return nodes.join(found, ["doc_id", "node_id"])
+
+
+def dump_json(nodes: DataFrame, anonymous: bool = False) -> DataFrame:
+    """(doc_id, tree): each tree as JSON objects of kind, named, range, field where there is one, and children.
+
+    Anonymous nodes are left out unless asked for; what stands below one goes with it.
+    """
+
+    def build(rows):
+        import json
+
+        text, kids = {}, {}
+        for r in reversed(rows):  # children before their parents, last one first
+            if not (r["named"] or anonymous or r["parent_id"] is None):
+                kids.pop(r["node_id"], None)
+                continue
+            own = {"kind": r["kind"], "named": r["named"], "range": [r["start_byte"], r["end_byte"]]} | ({"field": r["field"]} if r["field"] is not None else {})
+            whole = f'{json.dumps(own, ensure_ascii=False, separators=(",", ":"))[:-1]},"children":[{",".join(reversed(kids.pop(r["node_id"], [])))}]}}'
+            if r["parent_id"] is None:
+                text[r["doc_id"]] = whole
+            else:
+                kids.setdefault(r["parent_id"], []).append(whole)
+        return list(text.items())
+
+    return _by_document(nodes.select("doc_id", "node_id", "parent_id", "kind", "named", "start_byte", "end_byte", "field"), build, "doc_id long, tree string")
