@@ -46,10 +46,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    for made in _LISTS:
+        made.append(out)
     release(spark)
     return out
 
 
+_LISTS: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def made_tables() -> Iterator[list[DataFrame]]:
+    """A list that gets every table that ``stored`` writes while this lasts."""
+    made: list[DataFrame] = []
+    _LISTS.append(made)
+    try:
+        yield made
+    finally:
+        _LISTS.remove(made)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While this lasts, Arrow batches have ``rows`` rows at most: whole texts and sets make rows of many kilobytes."""
@@ -296,6 +312,52 @@ def components(edges: DataFrame, label: str = "cc", rounds: int = 60, most: int
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+#: Columns of ``local_maps`` beside id.
+MAP_COLUMNS = ["own", *(f"b{i}" for i in range(8))]
+
+
+def local_maps(members: DataFrame, n_sets: int) -> DataFrame:
+    """(id, own, b0 to b7) of ``n_sets`` sets from their ``members`` (id, code): how many members no other of these sets has, and 512
+    bits of which each member that at most half of these sets have sets one. What all share would only fill the maps."""
+    df = members.groupBy("code").agg(F.count("*").alias("df")).where(F.col("df") <= n_sets // 2 + 1)
+    bit, part = F.expr("shiftleft(1L, cast(pmod(code, 64) as int))"), F.expr("pmod(shiftright(code, 8), 8)")
+    bits = [F.coalesce(F.bit_or(F.when(part == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(8)]
+    return members.join(df, "code").groupBy("id").agg(F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).alias("own"), *bits)
+
+
+def maps_allow(p: str, q: str, size: str):
+    """Whether two sets with the columns of ``local_maps`` can have a Jaccard of 0.8; a bit of only one of them is a member of only that."""
+    only = lambda r, t: sum(F.bit_count(F.col(f"{r}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{t}.b{k}")))) for k in range(8))
+    most = lambda r, t: F.col(f"{r}.{size}") - F.greatest(only(r, t), F.col(f"{r}.own"))
+    return 9 * F.least(most(p, q), most(q, p)) >= 4 * (F.col(f"{p}.{size}") + F.col(f"{q}.{size}"))
+
+
+def rare_prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets`` (id, size, ...) once for each member of its prefix, with the columns code, pos and small, for a join on code.
+
+    ``members`` (id, code) are the members of the sets that other sets may have. They are ordered by how many of these sets have
+    them, so that what all of them share comes last; members of one set only use up places. A prefix has as many as may be
+    missing in a smaller set of Jaccard 0.8 and one more; ``small`` marks those that a larger one needs.
+    """
+    df = members.groupBy("code").agg(F.count("*").alias("df"))
+    # a list is as long as its set
+    order = members.join(df, "code").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "code"))).alias("_order")).join(sets, "id")
+    own = (F.col("size") - F.size("_order")).cast("int")
+    order = order.withColumn("_own", own).withColumn("_prefix", F.floor(F.col("size") / 5).cast("int") - own + 1).where("_prefix > 0")
+    found = order.select(*sets.columns, "_own", F.posexplode(F.slice("_order", F.lit(1), F.col("_prefix"))).alias("_i", "_w")).where("_w.df > 1")
+    pos = F.col("_own") + F.col("_i")
+    return found.select(*sets.columns, F.col("_w.code").alias("code"), pos.alias("pos"), (pos < F.floor(F.col("size") / 9) + 1).alias("small"))
+
+
+def prefixes_meet(p: str, q: str):
+    """The join condition of two rows of ``rare_prefixes``: one code, and the filters on lengths, roles and positions."""
+    c = lambda r, n: F.col(f"{r}.{n}")
+    least, most = F.least(c(p, "size"), c(q, "size")), F.greatest(c(p, "size"), c(q, "size"))
+    roles = (c(p, "size") <= c(q, "size")) & c(p, "small") | (c(p, "size") >= c(q, "size")) & c(q, "small")
+    shared = F.least(c(p, "pos"), c(q, "pos")) + F.least(c(p, "size") - c(p, "pos"), c(q, "size") - c(q, "pos"))
+    return (c(p, "code") == c(q, "code")) & roles & (5 * least >= 4 * most) & (9 * shared >= 4 * (c(p, "size") + c(q, "size")))
+
+
 def bloom_of(ids: DataFrame, bits_per_id: int = 12, most_bytes: int = 1 << 24) -> np.ndarray:
     """A Bloom filter of the first column (long) as bytes of bits; at most ``most_bytes`` whatever the number of ids.
 

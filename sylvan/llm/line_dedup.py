@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, Words, batches, bloom_has, bloom_of, dealt, forget, lean, lean_group, mix, release, stored, task_count
+from sylvan.llm.common import MAP_COLUMNS, U64, Words, batches, bloom_has, bloom_of, dealt, forget, lean, lean_group, local_maps, maps_allow, mix, prefixes_meet, rare_prefixes, release, stored, task_count
 from sylvan.llm.ngram_join import _HELD
 
 #: Lines with a word counted from here may be listed with their frequency, and the most entries of that list.
@@ -368,23 +368,17 @@ def _rare_here(have: DataFrame, lines: DataFrame) -> DataFrame:
         for b in rows:
             often, rest = b.column(2).to_pylist(), b.column(3).to_pylist()
             n = np.array([len(o) // 3 + len(r) // 8 for o, r in zip(often, rest, strict=True)], np.int64)
-            code = [_whole(o) if k else np.frombuffer(r, U64) for o, r in zip(often, rest, strict=True) for k in (1, 0)]
-            yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(b.column(0).to_numpy(), n), pa.int64()), "code": pa.array(np.concatenate(code).astype(np.int64), pa.int64())})
+            code = [np.zeros(0, U64), *(_whole(o) if k else np.frombuffer(r, U64) for o, r in zip(often, rest, strict=True) for k in (1, 0))]
+            # mixed, so that places in the list spread over the bits of the maps as hashes do
+            yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(b.column(0).to_numpy(), n), pa.int64()), "code": pa.array(mix(np.concatenate(code)).view(np.int64))})
 
     words = have.join(lines.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "often", "rest").mapInArrow(lean(spelled), "id long, code long")
     words = stored(words, "line-words-here")
-    df = words.groupBy("code").agg(F.count("*").alias("df"))
-    # a list is as long as its line
-    order = words.join(df, "code").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "code"))).alias("order")).join(lines, "id")
-    own = F.col("size") - F.size("order")
-    order = order.withColumn("own", own).withColumn("prefix", F.floor(F.col("size") / 5).cast("int") - own + 1).where("prefix > 0")
-    found = order.select("id", "at", "size", "bits", "still", "own", F.posexplode(F.slice("order", 1, F.col("prefix"))).alias("i", "w"))
-    found = found.where("w.df > 1").select("id", "at", "size", "bits", "still", (F.col("own") + F.col("i")).alias("pos"), F.col("w.code").alias("code"))
-    found = stored(found.withColumn("small", F.col("pos") < F.floor(F.col("size") / 9) + 1), "line-rare-here")
+    maps = local_maps(words, lines.count())
+    found = stored(rare_prefixes(words, lines.join(maps, "id", "left").fillna(0, MAP_COLUMNS)), "line-rare-here")
+    forget(words)
     x, y = found.alias("x"), found.where("still").alias("y")
-    fits = (F.least("x.size", "y.size") * 5 >= F.greatest("x.size", "y.size") * 4) & (9 * (F.least("x.pos", "y.pos") + F.least(F.expr("x.size - x.pos"), F.expr("y.size - y.pos"))) >= 4 * (F.col("x.size") + F.col("y.size")))
-    roles = F.expr("x.size <= y.size and x.small or x.size >= y.size and y.small")
-    return y.join(x, F.expr("x.code = y.code and x.at < y.at") & fits & roles & _alike("x", "y")).select(F.col("x.id").alias("early"), F.col("y.id").alias("late"))
+    return y.join(x, prefixes_meet("x", "y") & F.expr("x.at < y.at") & _alike("x", "y") & maps_allow("x", "y", "size")).select(F.col("x.id").alias("early"), F.col("y.id").alias("late"))
 
 
 def _alike(p: str, q: str):

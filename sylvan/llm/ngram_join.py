@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import U64, batches, bloom_has, bloom_of, components, forget, lean, lean_group, mix, release, shingles, stored, task_count
+from sylvan.llm.common import MAP_COLUMNS, U64, batches, bloom_has, bloom_of, components, forget, lean, lean_group, local_maps, maps_allow, mix, release, shingles, stored, task_count
 
 #: Document frequency from which a shingle may be called frequent, and the most entries of the list of frequent ones.
 FREQUENT_FROM, FREQUENT_MOST = 8, 1_000_000
@@ -271,10 +271,9 @@ def candidate_groups(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.nda
     return blocks.groupBy("bucket").applyInArrow(lean_group(shared_only), "sig long, doc_id long, n long, m long, pos long, role int")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have at least ``percent`` hundredths in common, verified over the whole sets."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bloom_of(pairs.select("a").union(pairs.select("b")).distinct()))
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, hashes) of the documents in ``ids`` (doc_id); some others may be there as well."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_of(ids.distinct()))
 
     def sets(rows):
         for b in rows:
@@ -284,6 +283,12 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
             for i in range(0, len(hit), 500):
                 yield pa.RecordBatch.from_pydict({"id": pa.array(ids[hit[i : i + 500]], pa.int64()), "hashes": pa.array([s.tobytes() for s in _sets(texts[i : i + 500], k)], pa.binary())})
 
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(lean(sets), "id long, hashes binary")
+
+
+def _linked(have: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have at least ``percent`` hundredths in common, verified over the whole sets."""
+
     def verify(rows):
         for a, b, x, y in batches(rows, "a", "b", "x", "y"):
             ok = []
@@ -293,12 +298,24 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, o in zip(a, ok, strict=True) if o], pa.int64()), "b": pa.array([v for v, o in zip(b, ok, strict=True) if o], pa.int64())})
 
-    have = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(lean(sets), "id long, hashes binary")
     one = pairs.join(have.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     both = one.join(have.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long")
 
 
+def _members(have: DataFrame) -> DataFrame:
+    """(id, code) of the members of sets."""
+
+    def run(rows):
+        for b in rows:
+            blobs = b.column(1).to_pylist()
+            for lo in range(0, len(blobs), 200):
+                part = blobs[lo : lo + 200]
+                yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(b.column(0).to_numpy()[lo : lo + 200], [len(x) // 8 for x in part]), pa.int64()), "code": pa.array(np.frombuffer(b"".join(part), np.int64))})
+
+    return have.select("id", "hashes").mapInArrow(lean(run), "id long, code long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for each row of ``docs`` (doc_id long, text string).
 
@@ -340,7 +357,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         one = left.join(hub, "sig").where(near).groupBy("doc_id").agg(F.min_by("hub.doc_id", rank(F.col("hub.n"), F.col("hub.m"), "hub.doc_id")).alias("hub"))
         star = untried(one.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
         tried.append(star)
-        found.append(stored(_linked(docs, star, k, percent), "shingle-links"))
+        ends = star.select("a").union(star.select("b"))
+        found.append(stored(_linked(_sets_of(docs, ends, k), star, percent), "shingle-links"))
         reached = components(reduce(DataFrame.union, found))
         now = left.drop("c").join(reached, left.doc_id == reached.id, "left").select("sig", "doc_id", "n", "m", "pos", "role", F.coalesce("component", "doc_id").alias("c"))
         sizes = now.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1")
@@ -352,13 +370,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             break
         before = pairs
 
-    # ... then the holders that are still apart among themselves.
-    x, y = left.where("role in (2, 3)").alias("x"), left.where("role in (1, 3)").alias("y")
-    rest = x.join(y, F.expr("x.sig = y.sig and x.c <> y.c and x.n <= y.n") & close(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    rest = untried(rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct())
-    if not rest.isEmpty():
-        found.append(stored(_linked(docs, rest, k, percent), "shingle-links"))
-    for t in (*tried, rest, left):
+    # ... then the holders that are still apart among themselves. What brought them together is often one passage that they all have,
+    # so the rest of their shingles must allow a link as well.
+    ids = stored(left.select("doc_id").distinct(), "shingle-ids")
+    if not ids.isEmpty():
+        have = stored(_sets_of(docs, ids, k).join(ids, F.col("id") == F.col("doc_id"), "left_semi").dropDuplicates(["id"]), "shingle-held")
+        members = stored(_members(have), "shingle-members")
+        maps = stored(local_maps(members, have.count()), "shingle-maps")
+        forget(members)
+        left_maps = left.join(maps, F.col("doc_id") == F.col("id"), "left").drop("id").fillna(0, MAP_COLUMNS)
+        x, y = left_maps.where("role in (2, 3)").alias("x"), left_maps.where("role in (1, 3)").alias("y")
+        fits = close(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & maps_allow("x", "y", "n")
+        rest = x.join(y, F.expr("x.sig = y.sig and x.c <> y.c and x.n <= y.n") & fits)
+        rest = untried(rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct())
+        found.append(stored(_linked(have, rest, percent), "shingle-links"))
+        for t in (have, maps, rest):
+            forget(t)
+    forget(ids)
+    for t in (*tried, left):
         forget(t)
 
     least = info.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
