@@ -63,8 +63,12 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.9, recall: floa
             digest, blob = [], []
             for i, n in enumerate(size.tolist()):
                 v = values[i].values.to_numpy(zero_copy_only=False).astype("<f8") if n else np.zeros(0)
-                ok = n and ids[i] is not None and np.isfinite(v).all() and 0 < math.sqrt(float(v @ v)) < math.inf
-                blob.append((v / math.sqrt(float(v @ v))).tobytes() if ok else None)
+                ok = n and ids[i] is not None and np.isfinite(v).all() and v.any()
+                if ok:  # by the largest component first, whose square may be out of range
+                    w = v / np.abs(v).max()
+                    blob.append((w / math.sqrt(float(w @ w))).tobytes())
+                else:
+                    blob.append(None)
                 digest.append(hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() if ok else None)
             yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "digest": pa.array(digest, pa.binary()), "unit": pa.array(blob, pa.binary())})
 

@@ -65,11 +65,11 @@ def grams(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(of)
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, max_languages: int = 200) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(labelled: DataFrame, max_rows: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log probabilities [bucket, language], scripts used [script, language]) from (doc_id, text, lang).
 
-    Rows without text or language are left out. About ``max_rows`` rows, chosen by a hash of doc_id, are read in full; the
-    ``max_languages`` most frequent languages are learned. Without any row, no language is learned.
+    Rows without text or language are left out. About ``max_rows`` rows, chosen by a hash of doc_id, are read in full, and all
+    their languages are learned. Without any row, no language is learned.
     """
     rows = labelled.where("text is not null and lang is not null")
     n = rows.count()
@@ -97,11 +97,10 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_languages: int = 200)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k)), "at": k.astype(np.int64), "n": c[k]})
 
     counted = rows.select("lang", "text").mapInArrow(lean(count), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    keep = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages)
-    languages = sorted(r["lang"] for r in keep.collect())
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     table = np.zeros((N_BUCKETS + len(SCRIPTS), len(languages)))
     at = {x: i for i, x in enumerate(languages)}
-    t = counted.join(F.broadcast(keep.select("lang")), "lang").toArrow()
+    t = counted.toArrow()
     for lang, k, c in zip(t.column("lang").to_pylist(), t.column("at").to_pylist(), t.column("n").to_pylist(), strict=True):
         table[k, at[lang]] = c
     found, scripts = table[:N_BUCKETS], table[N_BUCKETS:]

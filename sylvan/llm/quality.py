@@ -67,15 +67,16 @@ def fit(docs: DataFrame, target: set[int]) -> np.ndarray:
     return np.log(good + PRIOR) - np.log(raw / max(1, raw.sum()) * good.sum() + PRIOR)
 
 
-def scores(docs: DataFrame, ratio: np.ndarray, seed: int = 5) -> DataFrame:
-    """(doc_id, score, key): the log likelihood ratio of the whole text, and that plus Gumbel noise fixed by doc_id and seed."""
+def scores(docs: DataFrame, ratio: np.ndarray, seed: int = 5, temper: float = 1.0) -> DataFrame:
+    """(doc_id, score, key): the log likelihood ratio of the whole text, and that over ``temper`` plus Gumbel noise fixed by doc_id and
+    seed."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(rows):
         for ids, texts in batches(rows, "doc_id", "text"):
             s = np.array([shared.value[f].sum() for f in _features(texts)])
             u = (mix(np.array([(i or 0) & (1 << 64) - 1 for i in ids], U64) * U64(2 * seed + 1) + U64(seed)) >> U64(11)).astype(np.float64)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": s, "key": s - np.log(-np.log((u + 0.5) / (1 << 53)))})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": s, "key": s / temper - np.log(-np.log((u + 0.5) / (1 << 53)))})
 
     return docs.mapInArrow(lean(run), "doc_id long, score double, key double")
 
@@ -121,11 +122,13 @@ def cut_for(labelled: DataFrame, keep: float) -> float:
     return -np.inf if i == 0 else float(key[i - 1] + key[min(i, len(key) - 1)]) / 2
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = 20_000, keep: float = 4.0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = 20_000, keep: float = 4.0, budget: float | None = None, temper: float = 1.0) -> DataFrame:
     """(doc_id, score, key) of the documents drawn from ``docs`` (doc_id, text) with ``labels`` (doc_id, quality).
 
     The sampled labelled rows are halved by doc_id. The target model is counted on the rows of quality 1 of one half, the raw
-    model on all documents. Without ``k``, k is the number of documents above the key that tells the other half apart best. A null or blank text scores 0. A null
+    model on all documents. ``budget`` gives k as a share of the documents. Without ``k`` and ``budget``, k is the number
+    of documents above the key that tells the other half apart best. Whole texts have ratios far beyond the noise, so that such a draw
+    hardly varies; a larger ``temper`` divides the ratios and lets documents of lower ones in. A null or blank text scores 0. A null
     doc_id is scored as 0 is. Rows that repeat a doc_id and a text share a fate. Without usable labels all documents stay.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -134,7 +137,9 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_label
     good = {d for d in fitting if known[d]}
     if not good:
         return scores(docs, np.zeros(N_BUCKETS))
-    rows = stored(scores(docs, fit(docs, good)), "quality")
+    rows = stored(scores(docs, fit(docs, good), temper=temper), "quality")
+    if k is None and budget is not None:
+        k = round(budget * rows.count())
     if k is None:
         spark, held = docs.sparkSession, sorted(set(known) - fitting)
         known_rows = F.broadcast(spark.createDataFrame(pa.table({"doc_id": pa.array(held, pa.int64()), "good": pa.array([known[d] for d in held], pa.bool_())})))

@@ -152,6 +152,18 @@ def test_quality(spark):
     assert quality.resample(frame.limit(0), labels).count() == 0
 
 
+def test_quality_draw(spark):
+    """The k largest keys are drawn, and noise decides where the ratios are tempered."""
+    rows = [(i, "stone river house light" if i % 2 else "stone river now click") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    every = {r["doc_id"]: r["key"] for r in quality.resample(docs, labels, budget=1.0, temper=1e9).collect()}
+    drawn = {r["doc_id"] for r in quality.resample(docs, labels, budget=0.25, temper=1e9).collect()}
+    assert drawn == set(sorted(every, key=lambda i: -every[i])[:100])
+    assert 30 <= sum(i % 2 for i in drawn) <= 70  # as good as at random
+    assert sum(r["doc_id"] % 2 for r in quality.resample(docs, labels, budget=0.25, temper=0.01).collect()) == 100
+
+
 def test_top_k_with_ties(spark):
     rows = spark.createDataFrame([(i, float(i % 7)) for i in range(25_000)], "doc_id long, key double")
     want = sorted(((-float(i % 7), i) for i in range(25_000)))[:9_001]
@@ -240,6 +252,37 @@ def test_vectors(spark):
     assert 4 <= m <= 40 and 4 <= tables <= 200
 
 
+def test_vectors_at_the_threshold(spark):
+    """Recall at the default for pairs of cosine 0.9 to 0.91, and vectors whose squares are out of range."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(800):
+        a, b = (v / np.linalg.norm(v) for v in rng.normal(size=(2, 32)))
+        b -= (a @ b) * a
+        c = rng.uniform(0.9001, 0.91)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist())]
+    rows += [(9000, [1e300] * 32), (9001, [1e-300] * 32)]
+    got = {r["vec_id"]: r for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[2 * i + 1]["component_id"] == 2 * i for i in range(800)) >= 0.95 * 800
+    assert got[9001]["component_id"] == 9000 and got[9000]["n_links"] == 1
+
+
+def test_empty_vectors_images_and_texts(spark):
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<double>, rep long, unit string")
+    assert near_duplicate_vectors(vectors).count() == 0
+    assert image_copies(spark.createDataFrame([], "id long, image binary, component_id long")).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert language_id.identify(docs, language_id.train(docs)).count() == 0
+
+
+def test_all_languages_are_learned(spark):
+    """However many there are; the most frequent ones once hid the rest."""
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 260)]
+    rows = [(3 * i + j, (c + "a") * 30, f"l{i:03}") for i, c in enumerate(alphabet) for j in range(2)]
+    languages = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0]
+    assert len(languages) == 260
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
