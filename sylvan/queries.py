@@ -98,11 +98,14 @@ for _tier, _suffix in (("auto", ""), ("kernel", "_kernel")):
 pattern("capture_text_composite", "props", 'Q = (document (object {"{" (pair)} @p :: text))', "SELECT event_id AS doc_id, rtrim(regexp_replace(props, '\\}\\s*$', '')) AS p FROM events")
 pattern("first_token", "props", 'Q = (document (object . "{" @t . (pair) @p :: text))', "SELECT event_id AS doc_id, '{' AS t, trim(trim(props, '{}')) AS p FROM events")
 pattern("last_token", "props", 'Q = (document (object (pair) . "}" @t .))', "SELECT event_id AS doc_id, '}' AS t FROM events")
-pattern("anchored_run", "session", "Q = (session . (view)* @v)", f"WITH {_EV}, k AS (SELECT doc_id, kind, event_id, ix, count(*) FILTER (kind NOT IN ('view', 'error')) OVER (PARTITION BY doc_id ORDER BY ix) AS broken FROM e) SELECT doc_id, string_agg(event_id::VARCHAR, ',' ORDER BY ix) AS v FROM k WHERE broken = 0 AND kind = 'view' GROUP BY 1 UNION ALL SELECT doc_id, '' FROM e GROUP BY 1 HAVING count(*) FILTER (kind <> 'error') = 0")
+for _tier, _suffix in (("auto", ""), ("kernel", "_kernel")):
+    pattern(f"anchored_run{_suffix}", "session", "Q = (session . (view)* @v)", f"WITH {_EV}, k AS (SELECT doc_id, kind, event_id, ix, count(*) FILTER (kind NOT IN ('view', 'error')) OVER (PARTITION BY doc_id ORDER BY ix) AS broken FROM e) SELECT doc_id, string_agg(event_id::VARCHAR, ',' ORDER BY ix) AS v FROM k WHERE broken = 0 AND kind = 'view' GROUP BY 1 UNION ALL SELECT doc_id, '' FROM e GROUP BY 1 HAVING count(*) FILTER (kind <> 'error') = 0", _tier)
 _ALT = f"WITH {_EV}, f AS (SELECT * FROM e WHERE kind IN ('click', 'purchase') {_FIRST.format('ix')})"
-pattern("alternation_merged", "session", "Q = (session [(click) @c (purchase) @p])", f"{_ALT} SELECT doc_id, CASE WHEN kind = 'click' THEN event_id::VARCHAR END AS c, CASE WHEN kind = 'purchase' THEN event_id::VARCHAR END AS p FROM f")
+for _tier, _suffix in (("auto", ""), ("kernel", "_kernel")):
+    pattern(f"alternation_merged{_suffix}", "session", "Q = (session [(click) @c (purchase) @p])", f"{_ALT} SELECT doc_id, CASE WHEN kind = 'click' THEN event_id::VARCHAR END AS c, CASE WHEN kind = 'purchase' THEN event_id::VARCHAR END AS p FROM f", _tier)
 pattern("discard", "dialogue", "Q = (conversation {(user) @x (assistant) @y} @_ (user) @z)", f"WITH {_TURNS}, a AS (SELECT doc_id, min(ix) AS i FROM t WHERE role = 'user' GROUP BY 1), b AS (SELECT t.doc_id, min(ix) AS j FROM t JOIN a ON a.doc_id = t.doc_id AND ix > i WHERE role = 'assistant' GROUP BY 1), c AS (SELECT t.doc_id, arg_min(text, ix) AS z FROM t JOIN b ON b.doc_id = t.doc_id AND ix > j WHERE role = 'user' GROUP BY 1) SELECT doc_id, z FROM c")
-pattern("reference", "session", "Buy = (purchase)\nQ = (session (Buy) . (view) @v)", f"WITH {_EV}, s AS (SELECT *, lead(kind) OVER w AS nk, lead(event_id) OVER w AS ne FROM e WHERE kind <> 'error' WINDOW w AS (PARTITION BY doc_id ORDER BY ix)) SELECT doc_id, ne::VARCHAR AS v FROM s WHERE kind = 'purchase' AND nk = 'view' {_FIRST.format('ix')}")
+for _tier, _suffix in (("auto", ""), ("kernel", "_kernel")):
+    pattern(f"reference{_suffix}", "session", "Buy = (purchase)\nQ = (session (Buy) . (view) @v)", f"WITH {_EV}, s AS (SELECT *, lead(kind) OVER w AS nk, lead(event_id) OVER w AS ne FROM e WHERE kind <> 'error' WINDOW w AS (PARTITION BY doc_id ORDER BY ix)) SELECT doc_id, ne::VARCHAR AS v FROM s WHERE kind = 'purchase' AND nk = 'view' {_FIRST.format('ix')}", _tier)
 pattern("nested_text", "props", "Q = (document (object (pair key: (string) @k value: (number) @v)))", "SELECT event_id AS doc_id, '\"k\"' AS k, json_extract_string(props, '$.k') AS v FROM events")
 pattern("token", "props", 'Q = (document (object "{" . (pair) @p :: text . "}"))', "SELECT event_id AS doc_id, trim(trim(props, '{}')) AS p FROM events")
 

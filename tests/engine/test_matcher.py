@@ -160,6 +160,27 @@ def test_plans_agree_with_the_matcher(spark):
         assert got == want, body
 
 
+MORE_PLANS = [
+    "Q = (r (a) @x (b) @y (a) @z)", "Q = (r . (a) @x (b) @y (_) @z :: text)", "Q = (r (a) (b) @y (c))",
+    "Q = (r . (a)* @x)", "Q = (r . (a)+ @x)", "Q = (r .! (a)* @x)", "Q = (r .! (b)+ @x :: text)", "Q = (r . (c)* @x)", 'Q = (r . "t"* @x)', "Q = (r . _* @x)", "Q = (r . (a)*)",
+    "Q = (r [(a) @x (b) @y])", "Q = (r [(b) @x (_) @y (c) @z])", 'Q = (r [f: (_) @x "t" @x])', "Q = (r [(c) (b)])", "Q = (r [A: (a) @x B: (b)] @v)", "Q = (r [A: (c) @x B: (b) @y C: (_)] @v)", "Q = (r [A: (c) B: (g)] @v)",
+    "Q = (r {(a) @x . (b) @y}* @ps)", "Q = (r {(a) @x . (b) @y}+ @ps)", "Q = (r {(a) @x .! (b)}* @ps)", 'Q = (r {"t" . (b) @y}* @ps)', "Q = (r {(c) @x . (a) @y}* @ps)", "Q = (r {(a) @x . (c) @y}* @ps)",
+    "D = (a)\nQ = (r (D) . (b) @y)", "D = (a)\nQ = (r (D)* (b) @y)", "D = (a) @k\nQ = (r (D)* @xs)", "D = (a) @k\nQ = (r (D) @x . (b) @y)", "D = (a) @k\nQ = (r . (D)* @xs)",
+]
+
+
+def test_more_plans_agree_with_the_matcher(spark):
+    rng = random.Random(4)
+    rows = [r for d in range(200) for r in rows_of(("r", [rng.choice(["a", "a", "b", "b", "c~", "c", '"t"', "f:a", "g:b"]) for _ in range(rng.randrange(8))]), d)]
+    nodes = spark.createDataFrame(rows, DDL).repartition(4).cache()
+    for text in MORE_PLANS:
+        q = compile_query(text)
+        assert relational.plan(nodes, q) is not None, text
+        got = {r["doc_id"]: r.asDict(True) for r in api.run(nodes, q, tier="relational").collect()}
+        want = {r["doc_id"]: r.asDict(True) for r in api.run(nodes, q, tier="kernel").collect()}
+        assert got == want, text
+
+
 def test_no_plan_is_an_error(spark):
     nodes = spark.createDataFrame(rows_of(R), DDL)
     with pytest.raises(ValueError):
