@@ -8,7 +8,7 @@ import pytest
 from sylvan.llm.common import ascii_words, components, shingles
 from sylvan.llm.line_dedup import dedup_lines, duplicate_lines
 from sylvan.llm.ngram_join import jaccard_components
-from sylvan.llm.substring_dedup import compare, passage, repeated_passages, window_runs
+from sylvan.llm.substring_dedup import aligned, compare, near_windows, passage, repeated_passages, settle, widened, window_runs
 
 
 def _texts(seed=1):
@@ -200,6 +200,87 @@ def test_passages_against_brute_force(spark):
     assert all(max(_jaccard(p, q) for p in windows[i] for q in windows[i ^ 1]) >= 0.7 for i in got - want)
 
 
+def test_passages_of_blocks_in_another_order(spark):
+    """Windows of Jaccard 0.84 that neither begin nor end with one shingle, in passages that are no near copies as a whole."""
+    rng = random.Random(11)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    rows = []
+    for k in range(0, 12, 2):
+        head, one, two, tail = words(8), words(25), words(25), words(8)
+        rows += [(k, " ".join(words(20) + head + one + two + tail + words(20))), (k + 1, " ".join(words(30) + tail + two + one + head + words(10)))]
+    x, y = shingles([rows[0][1], rows[1][1]])
+    assert near_windows(x, y, 80, 46)[28, 38]
+    got = {(r["doc_id"], r["component_id"]) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert got == {(i, i // 2 * 2) for i, _ in rows}
+
+
+def test_every_component_of_passages_is_linked(spark):
+    """Passages that all have a partner already, in groups that only one pair of windows connects."""
+    rng = random.Random(12)
+    words = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for g in range(12):
+        p = words(80)
+        for k in range(4):
+            q = list(p)
+            # the first two are almost alike, and so are the last two; each of the last has 50 words of the first
+            if k > 1:
+                q[54:] = far
+            else:
+                far = words(26)
+            rows.append((10 * g + k, " ".join(words(20) + q + words(20))))
+    got = {r["doc_id"]: r["component_id"] for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
+@pytest.mark.parametrize("values", [4, 30, 300])
+def test_windows_are_settled_as_by_brute_force(values):
+    """All windows of regions of one signature that have a near copy are found, and components are those of all near pairs."""
+    rng = np.random.default_rng(values)
+    for _ in range(15):
+        base = rng.integers(0, values, 30).astype(np.uint64)
+        regions = []
+        for _ in range(14):
+            r = base[rng.integers(0, 8) : 30 - rng.integers(0, 8)].copy()
+            r[rng.integers(0, len(r), rng.integers(0, 4))] = rng.integers(1000, 1004)
+            regions.append(np.concatenate([rng.integers(2000, 2020, rng.integers(0, 5)).astype(np.uint64), r]))
+        n = len(regions)
+        window = [[set(r[s : s + 10].tolist()) for s in range(len(r) - 9)] for r in regions]
+        near = {(e, f): [(s, t) for s, a in enumerate(window[e]) for t, b in enumerate(window[f]) if 100 * len(a & b) >= 80 * len(a | b)] for e in range(n) for f in range(n) if e != f}
+        for e, f in near:
+            assert sorted(near[e, f]) == sorted(map(tuple, np.argwhere(near_windows(regions[e], regions[f], 80, 10)).tolist()))
+        ids = np.arange(n)
+        got = settle(np.zeros(n, np.int64), ids, ids, ids, np.ones(n, bool), regions, 80, 10)
+        found = {(e, s) for e, f, a, b, c, d in got for s in range(a, b + 1)} | {(f, t) for e, f, a, b, c, d in got for t in range(c, d + 1)}
+        assert found == {(e, s) for (e, _), some in near.items() for s, _ in some}
+        up = {i: {i} for i in range(n)}
+        for links, out in (([(e, f) for (e, f), some in near.items() if some], {}), ([(e, f) for e, f, *_ in got], up)):
+            out.update({i: {i} for i in range(n)})
+            for e, f in links:
+                if out[e] is not out[f]:
+                    both = out[e] | out[f]
+                    out.update(dict.fromkeys(both, both))
+            if out is not up:
+                want = dict(out)
+        assert up == want
+
+
+def test_windows_beside_each_other():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        x = rng.integers(0, 1 << 60, 120).astype(np.uint64)
+        y = np.concatenate([rng.integers(0, 1 << 60, 9).astype(np.uint64), x])
+        y[rng.integers(0, len(y), 12)] = 5
+        y = np.delete(y, rng.integers(0, len(y), 2))
+        found, loose = aligned([x], [y], 80, 46)
+        ok = near_windows(x, y, 80, 46)
+        for _, a0, a1, b0, b1, *_ in found.tolist():
+            assert ok[a0 : a1 - 44].any(axis=1).all() and ok[:, b0 : b1 - 44].any(axis=0).all()
+        for _, a, b, c, d in widened([x], [y], loose[:, [0, 5, 6, 7, 8]], 80, 46).tolist():
+            p, q = set(x[a : b + 1].tolist()), set(y[c : d + 1].tolist())
+            assert 100 * len(p & q) >= 80 * len(p | q) and min(b - a, d - c) >= 45
+
+
 @pytest.mark.parametrize("most", [5, 40, 400_000])
 def test_components_against_brute_force(spark, most):
     rng = random.Random(most)
