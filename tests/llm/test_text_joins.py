@@ -265,6 +265,40 @@ def test_windows_are_settled_as_by_brute_force(values):
         assert up == want
 
 
+def test_settling_compares_only_what_can_be_near(monkeypatch):
+    """Phrases that are repeated in each region, and one shingle that all have: no window is near another, and none is compared."""
+    from sylvan.llm import substring_dedup
+
+    calls, near_ranges = [], substring_dedup._near_ranges
+    monkeypatch.setattr(substring_dedup, "_near_ranges", lambda *a: calls.append(a) or near_ranges(*a))
+    regions = []
+    for e in range(24):
+        # six shingles again and again: 0 is everywhere, three are of half of the regions, two of a third
+        phrase = np.array([0, 1 + e % 2, 3 + e % 2, 5 + e % 2, 10 + e % 3, 20 + e % 3], np.uint64)
+        regions.append(np.tile(phrase, 4))
+    n = np.arange(len(regions))
+    got = settle(np.zeros(len(n), np.int64), n, n, n, np.ones(len(n), bool), regions, 80, 10)
+    assert {frozenset((e % 6, f % 6)) for e, f, *_ in got} == {frozenset({k}) for k in range(6)}
+    assert len({e for e, *_ in got} | {f for _, f, *_ in got}) == len(n)
+    assert len(calls) == len({(e, f) for e, f, *_ in got}) <= len(n)
+
+
+def test_a_window_of_two_signatures_needs_one_partner():
+    """The same windows have a partner whether or not signatures know of each other; it may be another one."""
+    rng = np.random.default_rng(5)
+    for _ in range(15):
+        base = rng.integers(0, 200, 40).astype(np.uint64)
+        texts = [base.copy() for _ in range(8)]
+        for t in texts:
+            t[rng.integers(0, 40, 3)] = rng.integers(1000, 1010, 3)
+        # two signatures, whose regions overlap
+        sig, ids, at = (np.array(v) for v in zip(*[(s, i, a) for s, a in ((0, 0), (1, 8)) for i in range(8)], strict=True))
+        regions = [texts[i][a : a + 30] for i, a in zip(ids, at, strict=True)]
+        once, both = (settle(sig, ids, ids, ids, np.ones(len(sig), bool), regions, 80, 10, *p) for p in ((at,), ()))
+        places = lambda got: {(ids[g], at[g] + s) for e, f, a, b, c, d in got for g, r in ((e, (a, b)), (f, (c, d))) for s in range(r[0], r[1] + 1)}  # noqa: E731, B023
+        assert places(once) == places(both)
+
+
 def test_windows_beside_each_other():
     rng = np.random.default_rng(3)
     for _ in range(30):
