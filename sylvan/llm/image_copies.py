@@ -186,6 +186,67 @@ def agreeing(a: np.ndarray, b: np.ndarray, distance: int = 20, slack: float = 3.
     return best
 
 
+def linked(pairs: list[tuple[np.ndarray, np.ndarray]], least: int, distance: int = 20, slack: float = 3.0, most: int = 400_000) -> np.ndarray:
+    """Whether ``agreeing`` is ``least`` or more, for many pairs of images at once; ``most`` pairs of corners are looked at in one go."""
+    out = np.full(len(pairs), least <= 0)
+    size = np.array([(len(a), len(b)) for a, b in pairs], np.int64).reshape(-1, 2)
+    # fewer corners than that cannot agree
+    some = np.flatnonzero((size.min(axis=1) >= max(1, least)))
+    some = some[np.lexsort((size[some, 1], size[some, 0]))]
+    lo = 0
+    while lo < len(some):
+        hi = min(len(some), lo + max(1, most // int(size[some[lo]].prod())))
+        while hi - lo > 1 and (hi - lo) * int(size[some[lo:hi]].max(axis=0).prod()) > most:
+            hi = lo + (hi - lo) // 2
+        out[some[lo:hi]] = _linked([pairs[i] for i in some[lo:hi]], size[some[lo:hi]], least, distance, slack)
+        lo = hi
+    return out
+
+
+def _linked(pairs: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, least: int, distance: int, slack: float) -> np.ndarray:
+    sides = []
+    for k in (0, 1):
+        have = np.arange(int(size[:, k].max())) < size[:, k, None]
+        c = np.zeros((*have.shape, _CORNER.itemsize // 8), U64)
+        c[have] = np.frombuffer(b"".join([p[k].tobytes() for p in pairs]), U64).reshape(-1, c.shape[2])
+        sides.append((c.view(_CORNER)[:, :, 0], have))
+    (a, in_a), (b, in_b) = sides
+    u, v = (np.ascontiguousarray(c["bits"]).view("<u8") for c in (a, b))
+    d = np.bitwise_count(u[:, :, None, 0] ^ v[:, None, :, 0]) + np.bitwise_count(u[:, :, None, 1] ^ v[:, None, :, 1])
+    d[~in_a] = 255
+    d[np.broadcast_to(~in_b[:, None, :], d.shape)] = 255
+    to, back = d.argmin(axis=2), d.argmin(axis=1)
+    match = in_a & (np.take_along_axis(back, to, axis=1) == np.arange(a.shape[1])) & (np.take_along_axis(d, to[:, :, None], axis=2)[:, :, 0] <= distance)
+    n = match.sum(axis=1)
+    out = np.zeros(len(pairs), bool)
+    rows = np.flatnonzero(n >= least)
+    if not len(rows):
+        return out
+    # the matches of each pair side by side, in the order of corners
+    order = np.argsort(~match[rows], axis=1, kind="stable")[:, : int(n.max())]
+    there = np.arange(order.shape[1]) < n[rows, None]
+    p = np.take_along_axis(a[rows], order, axis=1)
+    q = np.take_along_axis(b[rows], np.take_along_axis(to[rows], order, axis=1), axis=1)
+    z, w = p["x"] + 1j * p["y"], q["x"] + 1j * q["y"]
+    f = np.where(there, q["scale"], 1) / np.where(there, p["scale"], 1) * np.exp(1j * np.rint((q["angle"] - p["angle"]) / (np.pi / 16)) * np.pi / 16)
+    best = np.zeros(len(rows), np.int64)
+    for k in range(order.shape[1]):  # as in ``agreeing``, until enough agree
+        on = np.flatnonzero(there[:, k] & (best < least))
+        if not len(on):
+            break
+        from_k, to_k = z[on] - z[on, k, None], w[on] - w[on, k, None]
+        near = there[on] & (np.abs(to_k - f[on, k, None] * from_k) <= slack + 0.1 * np.abs(from_k))
+        m = near.sum(axis=1)
+        go = m > np.maximum(2, best[on])
+        on, near, m = on[go], near[go], m[go, None]
+        x, y = (c[on] - np.where(near, c[on], 0).sum(axis=1, keepdims=True) / m for c in (z, w))
+        r = np.where(near, x, 0)
+        g = (np.conj(r) * y).sum(axis=1) / np.maximum((np.abs(r) ** 2).sum(axis=1), 1e-9)
+        best[on] = np.maximum(best[on], (there[on] & (np.abs(y - g[:, None] * x) <= slack)).sum(axis=1))
+    out[rows] = best >= least
+    return out
+
+
 def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
     """(id, n_corners, component_id) for each row of ``images`` (id long, image binary).
 
@@ -264,7 +325,7 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         def verify(rows):
             for a, b, p, q in batches(rows, "a", "b", "p", "q"):
-                ok = [agreeing(np.frombuffer(x, _CORNER), np.frombuffer(y, _CORNER)) >= least for x, y in zip(p, q, strict=True)]
+                ok = linked([(np.frombuffer(x, _CORNER), np.frombuffer(y, _CORNER)) for x, y in zip(p, q, strict=True)], least)
                 yield pa.RecordBatch.from_pydict({c: pa.array([v for v, o in zip(values, ok, strict=True) if o], pa.int64()) for c, values in (("a", a), ("b", b))})
 
         have = held.select("id", "corners")
@@ -285,8 +346,8 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
         links = stored(got if links is None else links.union(got), "image-links")
         tried = pairs if tried is None else tried.union(pairs)
         reached = components(links).withColumnRenamed("id", "v")
-        left = left.drop("c").join(reached, F.col("id") == F.col("v"), "left").select("sig", "id", "d0", "d1", "n0", "n1", "to", "turn", "far", F.coalesce("component", "id").alias("c"))
-        sizes = left.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1")
+        left = stored(left.drop("c").join(reached, F.col("id") == F.col("v"), "left").select("sig", "id", "d0", "d1", "n0", "n1", "to", "turn", "far", F.coalesce("component", "id").alias("c")), "image-entries")
+        sizes = stored(left.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1"), "image-sizes")
         left = stored(left.join(sizes.select("sig"), "sig", "left_semi"), "image-left")
         n, open_pairs = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0))).first()
         if open_pairs <= 2 * n + 1000 or before is not None and open_pairs > 0.8 * before:

@@ -72,6 +72,24 @@ def test_images(spark):
     assert {r["id"]: r["image"] is None for r in rendered(vectors).collect()} == {1: True, 2: True, 3: True, 4: False}
 
 
+def test_images_are_verified_many_at_once(monkeypatch):
+    """Pairs of images verified together link as one by one, with few corners, with many, and with none."""
+    from sylvan.llm import image_copies as images
+
+    rng = np.random.default_rng(3)
+    grey = [np.kron(rng.random((12 + i % 3, 12)), np.ones((11, 11))).astype(np.float32) for i in range(8)]
+    grey += [g[8:, 5:] for g in grey] + [np.rot90(g) for g in grey] + [np.zeros((80, 80)), np.tile(grey[0], (2, 3))]
+    c = images.image_corners([encode(g) for g in grey])
+    c += [x[: 2 + i] for i, x in enumerate(c[:8])]
+    pairs = [(x, y) for x in c for y in c]
+    each = np.array([images.agreeing(x, y) for x, y in pairs])
+    monkeypatch.setattr(images, "agreeing", None)  # one pair at a time took most of the time
+    for least in (0, 1, 4, 8, 12):
+        for most in (1, 20_000, 400_000):
+            assert (images.linked(pairs, least, most=most) == (each >= least)).all()
+    assert 40 < (each >= 8).sum() < len(pairs) // 4 and not len(images.linked([], 8))
+
+
 def _cells(spark):
     rng = random.Random(4)
     return spark.createDataFrame([(s, g, t, rng.randrange(0, 500)) for s in ("a", "b", None) for g in ("en", "fr") for t in ("x", "y", "z")] + [("d", "en", "x", 0)], "source string, lang string, topic string, tokens long")
