@@ -1,5 +1,7 @@
 """The joins on shingles, lines and passages against brute force, with nulls, ties, copies and empty tables."""
 
+import cProfile
+import pstats
 import random
 
 import numpy as np
@@ -283,6 +285,22 @@ def test_settling_compares_only_what_can_be_near(monkeypatch):
     assert len(calls) == len({(e, f) for e, f, *_ in got}) <= len(n)
 
 
+def test_settling_many_near_copies_takes_steps_for_each_and_not_for_pairs():
+    """Each of many near copies gets a partner, and those of two components become one, without a step for every pair."""
+    rng = np.random.default_rng(8)
+    base = np.arange(24, dtype=np.uint64)
+    regions = [base.copy() for _ in range(400)]
+    for e, r in enumerate(regions):
+        r[rng.integers(0, 24)] = 1000 + e // 2
+    n = np.arange(len(regions))
+    steps = cProfile.Profile()
+    got = steps.runcall(settle, np.zeros(len(n), np.int64), n, n, n % 2, np.ones(len(n), bool), regions, 80, 10)
+    found = {(e, s) for e, f, a, b, c, d in got for s in range(a, b + 1)} | {(f, t) for e, f, a, b, c, d in got for t in range(c, d + 1)}
+    assert found == {(e, s) for e in n for s in range(15)}
+    assert any(e % 2 != f % 2 for e, f, *_ in got)
+    assert pstats.Stats(steps).total_calls < 1000 * len(n)
+
+
 def test_a_window_of_two_signatures_needs_one_partner():
     """The same windows have a partner whether or not signatures know of each other; it may be another one."""
     rng = np.random.default_rng(5)
