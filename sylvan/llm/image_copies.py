@@ -2,9 +2,9 @@
 
 Corners are found at several scales, each gets the direction of its patch's centroid and 128 binary brightness tests turned
 into that direction. Quarters of descriptors, taken for two neighbouring corners together, are the keys of a Hamming join: copies
-share a key where the same quarter of a corner and of its neighbour is untouched, and they have many corners. Where keys meet,
-the whole descriptors must be close and the neighbour must stand in the same direction and distance, as the corner's own direction
-and scale have it. Candidate pairs are verified by mutual nearest descriptors that agree on one similarity transform.
+share a key where the same quarter of a corner and of its neighbour is untouched, and they have many corners. A neighbour that
+mirrors its corner says nothing more than the corner alone and is passed over. Where keys meet, the whole descriptors must be
+close and the neighbour must stand in the same direction and distance, as a corner's own direction and scale have it. Candidate pairs are verified by mutual nearest descriptors that agree on one similarity transform.
 Images are grey or colour netpbm files (P5, P6) of any size; others count as unreadable.
 """
 
@@ -28,6 +28,8 @@ _ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8"), ("d0", "<u8"), ("d1", "<u8"),
 _TURNS = 5
 #: How far directions (in 256ths of a circle) and distances (in 16ths of a doubling) of neighbours may be apart.
 _TURNED, _FARTHER = 20, 6
+#: Neighbours of a corner that keys are made with, and how far (in 256ths of a circle) directions may be from those of a mirrored pair.
+_NEIGHBOURS, _MIRRORED = 3, 4
 #: Images that share a key up to which all pairs of them are looked at in place.
 SMALL = 16
 
@@ -130,37 +132,51 @@ def image_corners(data: list) -> list[np.ndarray]:
 def keys(c: np.ndarray, image: int) -> np.ndarray:
     """Entries of the join for an image: each quarter of a descriptor with the same quarter of a neighbour, and both whole.
 
-    Neighbours are the two nearest corners of the same scale, which a crop or an edit elsewhere leaves in place; one patch
-    alone, often flat or repetitive, would bring unrelated images together.
+    Neighbours are the nearest corners of the same scale, which a crop or an edit elsewhere leaves in place; one patch alone,
+    often flat or repetitive, would bring unrelated images together. So would a patch and its mirror image, which a border or a
+    symmetric shape puts beside it: corners that may be one, by their directions, come after all others. A scale of few corners
+    takes these too, and last the corner itself. Two corners have one entry a quarter, whichever is near the other.
     """
     out = [np.zeros(0, _ENTRY)]
+    circle = lambda r: np.rint(r / (2 * np.pi) * 256).astype(np.int64) % 256
     for scale in np.unique(c["scale"]).tolist():
         p = c[c["scale"] == scale]
         if len(p) < 2:
             continue
         bits = np.ascontiguousarray(p["bits"])
         q, whole = mix(bits.view("<u4").reshape(-1, 4).astype(U64) * U64(4) + np.arange(4, dtype=U64)), bits.view("<u8").reshape(-1, 2)
-        d = (p["x"][:, None] - p["x"]) ** 2 + (p["y"][:, None] - p["y"]) ** 2
+        x, y = (p[c] - p[c][:, None] for c in ("x", "y"))
+        d = x**2 + y**2
         np.fill_diagonal(d, np.inf)
-        for near in np.argsort(d, axis=1, kind="stable")[:, :2].T:
-            e = np.zeros((len(p), 4), _ENTRY)
-            e["sig"], e["id"] = mix(q * U64(0x9E3779B97F4A7C15) + mix(q[near])), image
-            for k in (0, 1):
-                e[f"d{k}"], e[f"n{k}"] = whole[:, k, None], whole[near, k, None]
-            x, y, a = (p[c][near] - p[c] for c in ("x", "y", "angle"))
-            circle = lambda r: np.rint(r / (2 * np.pi) * 256).astype(np.int64) % 256
-            e["to"], e["turn"] = circle(np.arctan2(y, x) - p["angle"])[:, None], circle(a)[:, None]
-            e["far"] = np.clip(np.rint(16 * np.log2(np.maximum(np.hypot(x, y) / scale, 1))), 0, 255)[:, None]
-            out.append(e.ravel())
+        # directions a and b are mirrored across a line between the corners if a + b is half a circle more than twice that from one to the other
+        beside = (p["angle"] + p["angle"][:, None] - 2 * np.arctan2(y, x)) / (2 * np.pi) * 256 % 256 - 128
+        mirrored = np.abs(beside) <= _MIRRORED
+        np.fill_diagonal(mirrored, True)
+        near = np.lexsort((d, mirrored), axis=1)[:, :_NEIGHBOURS]
+        i, j = np.repeat(np.arange(len(p)), near.shape[1]), near.ravel()
+        i, j = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+        # the lesser quarter comes first, in every image
+        lesser = (whole[i, 0] < whole[j, 0]) | (whole[i, 0] == whole[j, 0]) & (whole[i, 1] <= whole[j, 1])
+        keep = (q[i] < q[j]) | (q[i] == q[j]) & lesser[:, None]
+        i, j = np.where(keep, i[:, None], j[:, None]), np.where(keep, j[:, None], i[:, None])
+        e, quarter = np.zeros(i.shape, _ENTRY), np.arange(4)
+        e["sig"], e["id"] = mix(q[i, quarter] * U64(0x9E3779B97F4A7C15) + mix(q[j, quarter])), image
+        for k in (0, 1):
+            e[f"d{k}"], e[f"n{k}"] = whole[i, k], whole[j, k]
+        x, y, a = (p[c][j] - p[c][i] for c in ("x", "y", "angle"))
+        e["to"], e["turn"] = circle(np.arctan2(y, x) - p["angle"][i]), circle(a)
+        e["far"] = np.clip(np.rint(16 * np.log2(np.maximum(np.hypot(x, y) / scale, 1))), 0, 255)
+        out.append(e.ravel())
     e = np.concatenate(out)
     return e[np.unique(e["sig"], return_index=True)[1]]
 
 
 def alike(p: np.ndarray, q: np.ndarray, distance: int = 20) -> np.ndarray:
-    """Which pairs of entries have both descriptors within a Hamming distance, and the neighbour in the same place."""
+    """Which pairs of entries have both descriptors within a Hamming distance, and the neighbour in the same place as seen from either."""
     apart = lambda c: np.bitwise_count(p[f"{c}0"] ^ q[f"{c}0"]) + np.bitwise_count(p[f"{c}1"] ^ q[f"{c}1"])
-    off = lambda c: np.abs((p[c] - q[c]).view(np.int8).astype(np.int64))
-    placed = (off("to") <= _TURNED) & (off("turn") <= _TURNED) & (np.abs(p["far"].astype(np.int64) - q["far"]) <= _FARTHER)
+    off = lambda a: np.abs(a.view(np.int8).astype(np.int64))
+    to, turn = p["to"] - q["to"], p["turn"] - q["turn"]
+    placed = (np.minimum(off(to), off(to - turn)) <= _TURNED) & (off(turn) <= _TURNED) & (np.abs(p["far"].astype(np.int64) - q["far"]) <= _FARTHER)
     return (p["id"] != q["id"]) & (apart("d") <= distance) & (apart("n") <= distance) & placed
 
 
@@ -319,8 +335,10 @@ def image_copies(images: DataFrame, least: int = 8, seed: int = 0) -> DataFrame:
     entries = stored(entries.applyInArrow(lean_group(shared_only), "id long, other long, sig long, d0 long, d1 long, n0 long, n1 long, to int, turn int, far int"), "image-keys")
     few = entries.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     apart = lambda p, q, c: F.bit_count(F.col(f"{p}.{c}0").bitwiseXOR(F.col(f"{q}.{c}0"))) + F.bit_count(F.col(f"{p}.{c}1").bitwiseXOR(F.col(f"{q}.{c}1")))
-    off = lambda p, q, c: F.least(F.pmod(F.col(f"{p}.{c}") - F.col(f"{q}.{c}"), F.lit(256)), F.pmod(F.col(f"{q}.{c}") - F.col(f"{p}.{c}"), F.lit(256)))
-    close = lambda p, q: (apart(p, q, "d") <= 20) & (apart(p, q, "n") <= 20) & (off(p, q, "to") <= _TURNED) & (off(p, q, "turn") <= _TURNED) & (F.abs(F.col(f"{p}.far") - F.col(f"{q}.far")) <= _FARTHER)
+    less = lambda p, q, c: F.col(f"{p}.{c}") - F.col(f"{q}.{c}")
+    off = lambda a: F.least(F.pmod(a, F.lit(256)), F.pmod(-a, F.lit(256)))
+    placed = lambda p, q: (F.least(off(less(p, q, "to")), off(less(p, q, "to") - less(p, q, "turn"))) <= _TURNED) & (off(less(p, q, "turn")) <= _TURNED)
+    close = lambda p, q: (apart(p, q, "d") <= 20) & (apart(p, q, "n") <= 20) & placed(p, q) & (F.abs(F.col(f"{p}.far") - F.col(f"{q}.far")) <= _FARTHER)
 
     def verified(pairs: DataFrame) -> DataFrame:
         def verify(rows):

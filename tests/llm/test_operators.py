@@ -90,6 +90,58 @@ def test_images_are_verified_many_at_once(monkeypatch):
     assert 40 < (each >= 8).sum() < len(pairs) // 4 and not len(images.linked([], 8))
 
 
+def _sharing(images, entries):
+    """Pairs of images with an entry of one key that is alike."""
+    e = np.concatenate(entries)
+    e = e[np.argsort(e["sig"], kind="stable")]
+    pairs = set()
+    for step in range(1, len(e)):
+        p, q = e[:-step], e[step:]
+        same = p["sig"] == q["sig"]
+        if not same.any():
+            break
+        p, q = p[same], q[same]
+        ok = images.alike(p, q)
+        pairs |= set(zip(np.minimum(p["id"], q["id"])[ok].tolist(), np.maximum(p["id"], q["id"])[ok].tolist(), strict=True))
+    return pairs
+
+
+def test_unrelated_images_seldom_share_a_key():
+    """Corners beside a mirrored border are near their mirror images, which made 1 in 500 pairs of unrelated pictures meet."""
+    from sylvan.llm import image_copies as images
+
+    rng = np.random.default_rng(8)
+    draw = lambda v: encode(images._enlarged(np.pad(0.5 + v.reshape(8, 8) / np.linalg.norm(v), 2, mode="reflect"), 6))
+    v = rng.normal(size=(600, 64))
+    c = images.image_corners([draw(x) for x in v] + [draw(x + rng.normal(0, 0.1, 64)) for x in v])
+    shared = _sharing(images, [images.keys(x, i) for i, x in enumerate(c)])
+    copies = {(i, i + 600) for i in range(600)}
+    apart = [p for p in shared if p[1] % 600 != p[0] % 600]
+    assert len(apart) < 1200 * 1199 // 2 / 1500
+    link = {p for p in copies if images.agreeing(c[p[0]], c[p[1]]) >= 8}
+    assert len(link) > 550 and len(link & shared) >= 0.99 * len(link)
+
+
+def test_images_against_brute_force(spark):
+    """Components are those of all pairs that agree, with crops, noise, turns, symmetric pictures and pictures of few corners."""
+    from sylvan.llm import image_copies as images
+
+    rng = np.random.default_rng(5)
+    grey = [np.kron(rng.random((9, 9)), np.ones((11, 11))).astype(np.float32) for _ in range(12)]
+    grey += [np.concatenate([g, g[:, ::-1]], axis=1) for g in grey[:4]] + [g[:50, :52] for g in grey[4:8]]
+    grey += [g[6:, 4:] for g in grey] + [np.clip(g + rng.normal(0, 0.02, g.shape), 0, 1).astype(np.float32) ** 0.8 for g in grey] + [np.rot90(g) for g in grey]
+    data = [encode(g) for g in grey]
+    c = images.image_corners(data)
+    root = list(range(len(c)))
+    for i in range(len(c)):
+        for j in range(i):
+            a, b = sorted((root[i], root[j]))
+            if a != b and images.agreeing(c[i], c[j]) >= 8:
+                root = [a if r == b else r for r in root]
+    got = {r["id"]: r["component_id"] for r in image_copies(spark.createDataFrame(list(enumerate(data)), "id long, image binary")).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < 30
+
+
 def _cells(spark):
     rng = random.Random(4)
     return spark.createDataFrame([(s, g, t, rng.randrange(0, 500)) for s in ("a", "b", None) for g in ("en", "fr") for t in ("x", "y", "z")] + [("d", "en", "x", 0)], "source string, lang string, topic string, tokens long")
