@@ -129,6 +129,23 @@ def image_corners(data: list) -> list[np.ndarray]:
     return out
 
 
+def _neighbours(p: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+    """For each corner of a scale, those that keys are made with: the nearest that do not mirror it, then those that do, last itself.
+
+    Directions are mirrored across a line between two corners if their sum is half a circle more than twice the direction from
+    one corner to the other. ``most`` pairs of corners are looked at in one go.
+    """
+    out, step = [], 1 + most // len(p)
+    for lo in range(0, len(p), step):
+        r = np.arange(lo, min(len(p), lo + step))
+        x, y = (p[c] - p[c][r, None] for c in ("x", "y"))
+        d = x**2 + y**2
+        mirrored = np.abs((p["angle"] + p["angle"][r, None] - 2 * np.arctan2(y, x)) / (2 * np.pi) * 256 % 256 - 128) <= _MIRRORED
+        d[r - lo, r], mirrored[r - lo, r] = np.inf, True
+        out.append(np.lexsort((d, mirrored), axis=1)[:, :_NEIGHBOURS])
+    return np.concatenate(out)
+
+
 def keys(c: np.ndarray, image: int) -> np.ndarray:
     """Entries of the join for an image: each quarter of a descriptor with the same quarter of a neighbour, and both whole.
 
@@ -145,14 +162,7 @@ def keys(c: np.ndarray, image: int) -> np.ndarray:
             continue
         bits = np.ascontiguousarray(p["bits"])
         q, whole = mix(bits.view("<u4").reshape(-1, 4).astype(U64) * U64(4) + np.arange(4, dtype=U64)), bits.view("<u8").reshape(-1, 2)
-        x, y = (p[c] - p[c][:, None] for c in ("x", "y"))
-        d = x**2 + y**2
-        np.fill_diagonal(d, np.inf)
-        # directions a and b are mirrored across a line between the corners if a + b is half a circle more than twice that from one to the other
-        beside = (p["angle"] + p["angle"][:, None] - 2 * np.arctan2(y, x)) / (2 * np.pi) * 256 % 256 - 128
-        mirrored = np.abs(beside) <= _MIRRORED
-        np.fill_diagonal(mirrored, True)
-        near = np.lexsort((d, mirrored), axis=1)[:, :_NEIGHBOURS]
+        near = _neighbours(p)
         i, j = np.repeat(np.arange(len(p)), near.shape[1]), near.ravel()
         i, j = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
         # the lesser quarter comes first, in every image

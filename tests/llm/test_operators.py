@@ -122,6 +122,19 @@ def test_unrelated_images_seldom_share_a_key():
     assert len(link) > 550 and len(link & shared) >= 0.99 * len(link)
 
 
+def test_neighbours_are_sought_in_parts():
+    """Large images have many corners; their neighbours are the same however many are looked at in one go."""
+    from sylvan.llm import image_copies as images
+
+    rng = np.random.default_rng(6)
+    c = images.corners(np.kron(rng.random((20, 20)), np.ones((11, 11))).astype(np.float32)[None])[0]
+    p = c[c["scale"] == 1]
+    whole = images._neighbours(p)
+    for most in (1, 1000, 7 * len(p)):
+        assert (images._neighbours(p, most) == whole).all()
+    assert len(p) > 100 and (whole != np.arange(len(p))[:, None]).all()
+
+
 def test_images_against_brute_force(spark):
     """Components are those of all pairs that agree, with crops, noise, turns, symmetric pictures and pictures of few corners."""
     from sylvan.llm import image_copies as images
