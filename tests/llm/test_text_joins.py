@@ -301,6 +301,35 @@ def test_settling_many_near_copies_takes_steps_for_each_and_not_for_pairs():
     assert pstats.Stats(steps).total_calls < 1000 * len(n)
 
 
+def test_settling_near_copies_looks_up_holders_until_windows_are_served(monkeypatch):
+    """The tables of holders that settling fills grow with the near copies, and not with the pairs of them."""
+    from sylvan.llm import substring_dedup
+
+    class Counted:
+        cells = 0
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def zeros(self, shape, *a):
+            self.cells += int(np.prod(shape))
+            return np.zeros(shape, *a)
+
+    def cells(many):
+        rng = np.random.default_rng(8)
+        regions = [np.arange(24, dtype=np.uint64) for _ in range(many)]
+        for e, r in enumerate(regions):
+            r[rng.integers(0, 24)] = 1000 + e // 2
+        n, counted = np.arange(many), Counted()
+        monkeypatch.setattr(substring_dedup, "np", counted)
+        got = settle(np.zeros(many, np.int64), n, n, n * 0, np.ones(many, bool), regions, 80, 10)
+        monkeypatch.undo()
+        assert {e for e, *_ in got} | {f for _, f, *_ in got} == set(range(many))
+        return counted.cells
+
+    assert cells(1600) < 3 * cells(800)
+
+
 def test_a_window_of_two_signatures_needs_one_partner():
     """The same windows have a partner whether or not signatures know of each other; it may be another one."""
     rng = np.random.default_rng(5)
