@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,16 +58,39 @@ def _dealt(nodes: DataFrame) -> DataFrame:
 
 
 def _documents(rows):
-    """The nodes of each document, as dicts, and the number of documents that began in each Arrow batch so far."""
-    held: list[dict] = []
+    """(doc_id, columns of its nodes as lists) of each document; a row is not made a dict, since rows are many and trees small."""
+    doc, held = None, None
     for batch in rows:
-        for r in batch.to_pylist():
-            if held and r["doc_id"] != held[0]["doc_id"]:
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        columns = [_plain(batch.column(i)) for i in range(1, len(COLUMNS))]
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = [c[lo:hi] for c in columns]
+            if held is not None and ids[lo] == doc:
+                for c, more in zip(held, part, strict=True):
+                    c += more
+                continue
+            if held is not None:
+                yield doc, held
+            doc, held = int(ids[lo]), part
+    if held is not None:
+        yield doc, held
+
+
+def _plain(column: pa.Array) -> list:
+    """The values of a column in plain types, nulls as None."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    out = column.fill_null(0 if pa.types.is_integer(column.type) else False).to_numpy(zero_copy_only=False).tolist()
+    for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+        out[i] = None
+    return out
 
 
 def run_kernel(nodes: DataFrame, query: Query | str, entry: str | None = None, fuel: Limit = None, memory: Limit = None, provenance: bool = False) -> DataFrame:
@@ -78,20 +102,24 @@ def run_kernel(nodes: DataFrame, query: Query | str, entry: str | None = None, f
     name = q.entry(entry).name
     schema = pa.schema([("doc_id", pa.int64()), ("status", pa.string()), ("result", pa.string()), ("fuel_used", pa.int64()), ("peak_bytes", pa.int64()), ("provenance", pa.string())])
 
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
     def match(rows):
         from sylvan.operators.kernel import STEP_BYTES, Matcher, Tree
 
         matcher = Matcher(q, name, fuel, memory)
         out: list[tuple] = []
         as_text = lambda v: json.dumps(v, ensure_ascii=False)
-        for held in _documents(rows):
-            status, value = matcher.match_tree(Tree.of(held))
+        for doc, held in _documents(rows):
+            status, value = matcher.match_tree(Tree.of_columns(doc, *held))
             hit = status == "match"
-            out.append((held[0]["doc_id"], status, as_text(matcher.plain(value)) if hit else None, matcher.used, matcher.peak * STEP_BYTES, as_text(matcher.provenance(value)) if hit and provenance else None))
+            out.append((doc, status, as_text(matcher.plain(value)) if hit else None, matcher.used, matcher.peak * STEP_BYTES, as_text(matcher.provenance(value)) if hit and provenance else None))
             if len(out) == 1000:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+                yield batch(out)
                 out = []
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+        if out:
+            yield batch(out)
 
     return _dealt(nodes).mapInArrow(match, "doc_id long, status string, result string, fuel_used long, peak_bytes long, provenance string")
 
@@ -105,14 +133,14 @@ def trace(nodes: DataFrame, query: Query | str, entry: str | None = None, fuel:
     def steps(rows):
         from sylvan.operators.kernel import Matcher, Tree
 
-        for held in _documents(rows):
+        for doc, held in _documents(rows):
             events: list[tuple] = []
-            tree = Tree.of(held)
+            tree = Tree.of_columns(doc, *held)
             Matcher(q, name, fuel, trace=events).match_tree(tree)
             for lo in range(0, len(events), 10_000):
                 part = events[lo : lo + 10_000]
                 used, start, end, node, fits = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([held[0]["doc_id"]] * len(part), pa.int64()), pa.array(used, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(node, pa.int32()), pa.array([tree.kind[n] for n in node]), pa.array(fits)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(part), pa.int64()), pa.array(used, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(node, pa.int32()), pa.array([tree.kind[n] for n in node]), pa.array(fits)], names)
 
     return _dealt(nodes).mapInArrow(steps, "doc_id long, step long, query_start int, query_end int, node_id int, kind string, fits boolean")
 

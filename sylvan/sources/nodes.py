@@ -36,7 +36,8 @@ def flat_trees(rows: DataFrame, root: str, order: list, doc: str = "doc_id", all
     w = Window.partitionBy(doc).orderBy(*order)
     ends = F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1
     kids = rows.select(F.col(doc).cast("long").alias("doc_id"), F.row_number().over(w).alias("node_id"), F.lit(0).alias("parent_id"), (F.row_number().over(w) - 1).alias("child_ix"), "kind", named.alias("named"), extra.alias("extra"), F.lit(False).alias("missing"), field.alias("field"), (ends - F.octet_length(F.coalesce("text", F.lit("")))).alias("start_byte"), ends.alias("end_byte"), F.col("text").cast("string").alias("text"))
-    docs = kids.groupBy("doc_id").agg(F.max("end_byte").alias("end_byte"))
+    # the last end is the sum of all, for which rows need no order
+    docs = rows.groupBy(F.col(doc).cast("long").alias("doc_id")).agg((F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("int") - 1).alias("end_byte"))
     if all_docs is not None:
         docs = all_docs.select(F.col(all_docs.columns[0]).cast("long").alias("doc_id")).distinct().join(docs, "doc_id", "left").withColumn("end_byte", F.coalesce("end_byte", F.lit(0)))
     roots = docs.select("doc_id", F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(0).alias("child_ix"), F.lit(root).alias("kind"), F.lit(True).alias("named"), F.lit(False).alias("extra"), F.lit(False).alias("missing"), F.lit(None).cast("string").alias("field"), F.lit(0).alias("start_byte"), "end_byte", F.lit(None).cast("string").alias("text"))

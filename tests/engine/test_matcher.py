@@ -1,8 +1,11 @@
 """The matcher on hand-made trees, and relational plans against it on random ones."""
 
+import cProfile
 import json
+import pstats
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +228,29 @@ def test_matches_and_stream(spark, tmp_path):
 def test_empty(spark):
     nodes = spark.createDataFrame([], DDL)
     assert api.run(nodes, "Q = (r (a) @x)").count() == 0 and api.run(nodes, "Q = (r (a) @x)", tier="kernel").count() == 0
+
+
+def test_documents_are_read_by_columns_and_not_by_rows():
+    """Documents over several batches, with nodes that have no parent, field or text; there are fewer steps than rows."""
+    rows = [r for d in range(400) for r in rows_of(("r", ["f:a", "b", '"c"', "e~"]), d)]
+    for r in rows[::7]:
+        r["text"] = None
+    schema = pa.schema([("doc_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("child_ix", pa.int32()), ("kind", pa.string()), ("named", pa.bool_()), ("extra", pa.bool_()), ("missing", pa.bool_()), ("field", pa.string()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("text", pa.string())])
+    whole = pa.RecordBatch.from_pylist(rows, schema)
+    batches = [whole.slice(0, 3), whole.slice(3, 0), whole.slice(3, 4), whole.slice(7, 1), whole.slice(8)]
+    steps = cProfile.Profile()
+    got = steps.runcall(lambda: list(api._documents(iter(batches))))
+    assert pstats.Stats(steps).total_calls < 2 * len(rows)
+    assert [d for d, _ in got] == list(range(400))
+    for d, columns in got:
+        assert Tree.of_columns(d, *columns) == Tree.of([r for r in rows[5 * d : 5 * d + 5]])
+        assert columns[1] == [None, 0, 0, 0, 0] and all(type(v) in (int, type(None)) for v in columns[1])
+
+
+def test_roots_need_no_order_of_rows(spark):
+    """The rows of a document are ordered once, for its children; the root's end is that of the last child."""
+    rows = spark.createDataFrame([(1, "a", "été", 2), (1, "b", None, 1), (2, "a", "xy", 1), (None, "a", "z", 1)], "doc_id long, kind string, text string, at int")
+    nodes = flat_trees(rows, "r", ["at"])
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    ends = {r["doc_id"]: r["end_byte"] for r in nodes.where("parent_id is null").collect()}
+    assert ends == {r["doc_id"]: r["n"] for r in nodes.where("parent_id = 0").groupBy("doc_id").agg(F.max("end_byte").alias("n")).collect()} == {1: 6, 2: 2, None: 1}
