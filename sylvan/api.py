@@ -17,7 +17,7 @@ from sylvan.plans import relational
 from sylvan.plans.emit import ddl, typescript
 from sylvan.plans.schema import result_type
 from sylvan.sources.nodes import COLUMNS, dump, dump_json
-from sylvan.sources.text_trees import BUILDERS, parse_trees
+from sylvan.sources.text_trees import BUILDERS, parse_trees, trees_of
 
 
 def infer_schema(query: Query | str, entry: str | None = None) -> T.DataType | None:
@@ -102,6 +102,9 @@ def run_kernel(nodes: DataFrame, query: Query | str, entry: str | None = None, f
     name = q.entry(entry).name
     schema = pa.schema([("doc_id", pa.int64()), ("status", pa.string()), ("result", pa.string()), ("fuel_used", pa.int64()), ("peak_bytes", pa.int64()), ("provenance", pa.string())])
 
+    # of texts, the trees need not be made tables, dealt and put together again
+    dealt, documents = trees_of(nodes) or (_dealt(nodes), _documents)
+
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -110,8 +113,8 @@ def run_kernel(nodes: DataFrame, query: Query | str, entry: str | None = None, f
 
         matcher = Matcher(q, name, fuel, memory)
         out: list[tuple] = []
-        as_text = lambda v: json.dumps(v, ensure_ascii=False)
-        for doc, held in _documents(rows):
+        as_text = json.JSONEncoder(ensure_ascii=False).encode
+        for doc, held in documents(rows):
             status, value = matcher.match_tree(Tree.of_columns(doc, *held))
             hit = status == "match"
             out.append((doc, status, as_text(matcher.plain(value)) if hit else None, matcher.used, matcher.peak * STEP_BYTES, as_text(matcher.provenance(value)) if hit and provenance else None))
@@ -121,7 +124,7 @@ def run_kernel(nodes: DataFrame, query: Query | str, entry: str | None = None, f
         if out:
             yield batch(out)
 
-    return _dealt(nodes).mapInArrow(match, "doc_id long, status string, result string, fuel_used long, peak_bytes long, provenance string")
+    return dealt.mapInArrow(match, "doc_id long, status string, result string, fuel_used long, peak_bytes long, provenance string")
 
 
 def trace(nodes: DataFrame, query: Query | str, entry: str | None = None, fuel: Limit = None) -> DataFrame:

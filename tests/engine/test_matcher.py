@@ -254,3 +254,16 @@ def test_roots_need_no_order_of_rows(spark):
     assert nodes._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
     ends = {r["doc_id"]: r["end_byte"] for r in nodes.where("parent_id is null").collect()}
     assert ends == {r["doc_id"]: r["n"] for r in nodes.where("parent_id = 0").groupBy("doc_id").agg(F.max("end_byte").alias("n")).collect()} == {1: 6, 2: 2, None: 1}
+
+
+@pytest.mark.parametrize("query", ['Q = (document (object {"{" (pair)} @p :: text))', 'Q = (document (object . "{" @t . (pair) @p :: text))', 'Q = (document (object (pair) . "}" @t .))', "Q = (document (object (pair key: (string) @k value: (number) @v)))", 'Q = (document (object "{" . (pair) @p :: text . "}"))'])
+def test_trees_of_texts_are_matched_where_they_are_parsed(spark, query):
+    """Texts, empty and broken ones among them, are parsed and matched without a table of nodes between, and with the same results."""
+    texts = ['{"k": 5}', '{"é": 1, "k": "x"}', "{}", "", None, '{"a": {"b": 2}', "[1, 2]", '  {"k" 7} ', "]"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "{}")], "doc_id long, source string")
+    nodes = parse_trees(docs, "json")
+    here, dealt = api.run(nodes, query, stats=True), api.run(nodes.where("true"), query, stats=True)
+    assert sorted(here.collect(), key=lambda r: r["doc_id"]) == sorted(dealt.collect(), key=lambda r: r["doc_id"])
+    assert here.count() == len(texts)
+    plan = [x._jdf.queryExecution().optimizedPlan().toString() for x in (here, dealt)]
+    assert ["kind" in p.split("Repartition")[1] for p in plan] == [False, True] and [p.count("MapInArrow") for p in plan] == [1, 2]
